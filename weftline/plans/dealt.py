@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
-from weftline.operators import intervals, timestamps
+from weftline.operators import intervals, proximity, timestamps
 from weftline.session import table
 
 #: A century of months.
@@ -42,4 +42,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.first_times(table(spark, sf, "time_axis"), table(spark, sf, "zone_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p5_found": p5_found}
+#: The distance of p3_found.
+NEAR_KM = 0.5
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return proximity.near_pairs(table(spark, sf, "subset_points"), NEAR_KM)
+
+
+QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p3_found": p3_found, "p5_found": p5_found}
