@@ -1,0 +1,87 @@
+"""Best representative of each duplicate group: survivors by precedence, and iterative truth discovery."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.session import cut
+
+
+def survivors(records: DataFrame, group: list[str], record: str, precedence: list[str], fields: dict[str, tuple[str, int]]) -> DataFrame:
+    """``group, record, *fields``: one surviving record for each group of at least two distinct records, built field by field.
+
+    Records are ordered by the columns ``precedence`` ascending, nulls last, then by ``record``; the first survives. ``fields``:
+    name -> (column, scope): the value of the first record, in the same order, that has one (non-null) and equals the survivor in
+    the first ``scope`` precedence columns (nulls are equal); null if there is none. Rows with a null group column or record are
+    left out; repeated rows change nothing. One aggregation with map-side combine, so a group of any size meets as partial minima.
+    """
+    order = [x for p in precedence for x in (F.col(p).isNull().alias(f"{p}_missing"), F.col(p).alias(p))] + [F.col(record).alias("_record")]
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*group, record]))
+    first = lambda value, when: F.min(F.when(when, F.struct(*order, value.alias("_value"))))
+    aggregates = [F.min(record).alias("_low"), F.max(record).alias("_high"), first(F.lit(0), F.lit(True)).alias("_best")]
+    aggregates += [first(F.col(c), F.col(c).isNotNull()).alias(f"_f{i}") for i, (c, _) in enumerate(fields.values())]
+    best = records.where(known).groupBy(*group).agg(*aggregates).where("_low <> _high")
+    # as the scope leads the order, the first record with a value shares the survivor's scope if any record with a value does
+    shares = lambda i, scope: reduce(lambda a, b: a & b, (F.col(f"_f{i}.{p}").eqNullSafe(F.col(f"_best.{p}")) for p in precedence[:scope]), F.col(f"_f{i}").isNotNull())
+    return best.select(*group, F.col("_best._record").alias(record), *(F.when(shares(i, scope), F.col(f"_f{i}._value")).alias(name) for i, (name, (_, scope)) in enumerate(fields.items())))
+
+
+def truth(claims: DataFrame, group: list[str], field: str, value: str, source: str, rounds: int = 10, tolerance: float = 1e-3, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Iterative truth discovery: (``group, field, value, support, claims``, ``source, reliability``).
+
+    A claim is a source's value of a field of a group. In turn, the support of each value is the sum of its sources' reliability,
+    the value of most support is taken for true, and a source's reliability is the share of its claims that are true, smoothed by
+    ``prior`` claims of reliability 0.5; until no reliability moves by more than ``tolerance``, for at most ``rounds`` rounds.
+    ``support`` is the chosen value's share of the field's votes. Equal support: more claims, then the smaller value. Claims with a
+    null in any of the columns say nothing; a source that repeats a claim says it once.
+
+    Copies are aggregated before the first round. Uncontested fields, whose one value wins under any weights, take no part in the
+    rounds; their claims count once, beforehand. Each round writes only the sources' weights to the checkpoint folder.
+    """
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*group, field, value, source]))
+    item = [*group, field]
+    said = claims.where(known).select(*item, F.col(value).cast("string").alias("_v"), F.col(source).alias("_s")).distinct()
+    spread = said.groupBy(*item).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    marked = cut(said.join(spread, item).withColumn("_contested", F.col("_low") != F.col("_high")).drop("_low", "_high"))
+    contested = marked.where("_contested").drop("_contested")
+    settled = marked.where("not _contested").groupBy("_s").agg(F.count("*").alias("_n"))
+    total = marked.groupBy("_s").agg(F.count("*").alias("_all")).join(settled, "_s", "left").select("_s", "_all", F.coalesce("_n", F.lit(0)).alias("_sure"))
+    total = cut(total)
+    smooth = lambda true: (true + 0.5 * prior) / (F.col("_all") + prior)
+    weights = total.select("_s", "_all", "_sure", smooth(F.col("_sure") + (F.col("_all") - F.col("_sure")) * 0.5).alias("_w"))
+
+    def winners(weights: DataFrame) -> DataFrame:
+        votes = contested.join(weights.select("_s", "_w"), "_s").groupBy(*item, "_v").agg(F.sum("_w").alias("_votes"), F.count("*").alias("_claims"))
+        # rounded, so that the order in which votes are added up never decides
+        best = F.min(F.struct((-F.round("_votes", 9)).alias("_less"), (-F.col("_claims")).alias("_fewer"), F.col("_v").alias("_v"))).alias("_best")
+        return votes.groupBy(*item).agg(best, F.sum("_votes").alias("_sum")).select(*item, F.col("_best._v").alias("_v"), (-F.col("_best._less")).alias("_votes"), "_sum", (-F.col("_best._fewer")).alias("_claims"))
+
+    for _ in range(rounds):
+        true = contested.join(winners(weights).select(*item, "_v"), [*item, "_v"], "left_semi").groupBy("_s").agg(F.count("*").alias("_true"))
+        moved = weights.join(true, "_s", "left").select("_s", "_all", "_sure", F.col("_w").alias("_was"), smooth(F.col("_sure") + F.coalesce("_true", F.lit(0))).alias("_w"))
+        moved = cut(moved)
+        change = moved.agg(F.max(F.abs(F.col("_w") - F.col("_was")))).first()[0]
+        weights = moved.drop("_was")
+        if change is None or change <= tolerance:
+            break
+    sure = marked.where("not _contested").groupBy(*item, "_v").agg(F.count("*").alias("_claims"))
+    chosen = winners(weights).select(*item, "_v", (F.col("_votes") / F.col("_sum")).alias("support"), "_claims")
+    chosen = chosen.unionByName(sure.select(*item, "_v", F.lit(1.0).alias("support"), "_claims"))
+    return chosen.select(*item, F.col("_v").alias(value), "support", F.col("_claims").alias("claims")), weights.select(F.col("_s").alias(source), F.col("_w").alias("reliability"))
+
+
+def version_day(version: Column, recorded_at: Column) -> Column:
+    """The day a version names, as a date: ``v`` and eight digits, in any spelling; null if it isn't a real day or is after ``recorded_at``'s."""
+    text = F.regexp_extract(F.trim(version), r"^[vV]?\s*([0-9]{4})[-./]?([0-9]{2})[-./]?([0-9]{2})$", 0)
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    day = F.when(F.length(digits) == 8, F.try_to_timestamp(F.concat(digits, F.lit("000000")), F.lit("yyyyMMddHHmmss")).cast("date"))
+    return F.when(day <= recorded_at.cast("date"), day)
+
+
+def usable_checksum(checksum: Column) -> Column:
+    """Lower-case checksum of 32 or 64 hexadecimal digits that are not all the same, else null."""
+    clean = F.lower(F.trim(checksum))
+    return F.when(clean.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{64})$") & ~clean.rlike(r"^(.)\1*$"), clean)

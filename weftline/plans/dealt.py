@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
-from weftline.operators import intervals, proximity, timestamps
+from weftline.operators import drift, intervals, proximity, survivors, timestamps
 from weftline.session import table
 
 #: A century of months.
@@ -50,4 +50,73 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return proximity.near_pairs(table(spark, sf, "subset_points"), NEAR_KM)
 
 
-QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p3_found": p3_found, "p5_found": p5_found}
+#: Target columns of the header records: field and type. The second spellings are those the feeds have used so far.
+HEADER = {
+    "path": ("path", "string"),
+    "file_type": ("file_type|File_Type|fileType|ftype|access_type|service", "string"),
+    "data_node": ("data_node|dataNode|node|host.node", "string"),
+    "version": ("version|Version|ver|dataset_version", "string"),
+    "checksum": ("checksum|check.sum|cksum|digest", "string"),
+    "time_units": ("time.units|time.unit|time.Units|time_units|tunits|axis.units", "string"),
+    "time_calendar": ("time.calendar|time.cal|axis.calendar|calendar", "string"),
+}
+#: Fields approved later, replayed from the rescue column.
+APPROVED = {
+    "tracking_id": ("tracking_id|trackingId|uuid", "string"),
+    "frequency": ("frequency|freq|time.frequency", "string"),
+    "n_steps": ("n_steps|nsteps|steps|time.n", "bigint"),
+    "size_mb": ("size_mb|sizeMB|size", "double"),
+    "lat_min": ("lat_min|subset.lat_min|south", "double"),
+    "instant": ("instant", "boolean"),
+    "bnds": ("bnds", "boolean"),
+}
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.schema_changes(drift.rescue_ingest(table(spark, sf, "raw_records"), {"path": ("path", "string")}))
+
+
+def p2_table(spark: SparkSession, sf: str) -> DataFrame:
+    records = drift.promote(drift.rescue_ingest(table(spark, sf, "raw_records"), HEADER), APPROVED)
+    return records.select("record_id", "feed", "file_name", "line_no", "written_at", *HEADER, *APPROVED, F.col("_rescued").alias("rescued")).where("_readable")
+
+
+def _ranked_links(spark: SparkSession, sf: str) -> DataFrame:
+    """soft_links with its packed columns unpacked, file name, version day (as a negative number: newest first) and ranks."""
+    links, path = table(spark, sf, "soft_links"), F.col("path")
+    kinds = table(spark, sf, "type_ranks").groupBy(paths.type_key(F.col("file_type")).alias("kind")).agg(F.min("pref_rank").alias("type_rank"))
+    nodes = table(spark, sf, "node_ranks").groupBy(paths.node_key(F.col("data_node")).alias("node")).agg(F.min("pref_rank").alias("node_rank"))
+    day = survivors.version_day(F.col("version"), F.col("recorded_at"))
+    checksum = survivors.usable_checksum(paths.unpacked(path, 2, F.col("checksum")))
+    rows = links.select(
+        paths.stem(path).alias("file_name"), "path_id", (-F.unix_date(day)).alias("age"), checksum.alias("sum"), paths.type_key(F.col("file_type")).alias("kind"), paths.node_key(F.col("data_node")).alias("node")
+    )
+    return rows.join(kinds, "kind", "left").join(nodes, "node", "left")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    best = survivors.survivors(_ranked_links(spark, sf), ["file_name"], "path_id", ["age", "type_rank", "node_rank"], {"checksum": ("sum", 1)})
+    return best.select("file_name", "path_id", F.coalesce("checksum", F.lit("")).alias("checksum"))
+
+
+def _claims(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _ranked_links(spark, sf)
+    both = F.array(F.struct(F.lit("checksum").alias("field"), F.col("sum").alias("value")), F.struct(F.lit("version").alias("field"), F.date_from_unix_date(-F.col("age")).cast("string").alias("value")))
+    return rows.select("file_name", "node", F.explode(both).alias("c")).select("file_name", "node", "c.*")
+
+
+def p4_truth(spark: SparkSession, sf: str) -> DataFrame:
+    chosen, _ = survivors.truth(_claims(spark, sf), ["file_name"], "field", "value", "node")
+    return chosen.select("file_name", "field", "value", F.round("support", 6).alias("support"), "claims")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_periods": p1_periods,
+    "p2_found": p2_found,
+    "p2_table": p2_table,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_truth": p4_truth,
+    "p5_found": p5_found,
+}
