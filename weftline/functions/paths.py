@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import once
+
 #: A period ends a file name: one or two dates of 4 to 14 digits, and a mark for climatologies.
-PERIOD = r"^(.*?)(?:_([0-9]{4,14})(?:[-_]([0-9]{4,14}))?(?:[-_]clim)?)?$"
+PERIOD = r"_([0-9]{4,14})(?:[-_]([0-9]{4,14}))?(?:[-_]clim)?$"
 
 
 def packed_part(path: Column, i: int) -> Column:
@@ -27,7 +29,7 @@ def stem(path: Column) -> Column:
 
 
 def series(file_name: Column) -> Column:
-    return F.regexp_extract(file_name, PERIOD, 1)
+    return F.regexp_replace(file_name, PERIOD, "")
 
 
 def _month(text: Column, without: int) -> Column:
@@ -36,10 +38,16 @@ def _month(text: Column, without: int) -> Column:
     return F.when((F.length(text) >= 4) & month.between(1, 12), F.substring(text, 1, 4).cast("int") * 12 + month - 1)
 
 
-def period_months(file_name: Column) -> tuple[Column, Column, Column]:
-    """(is dated, first month, last month) of the period in a file name, in months since year 0."""
-    begin, end = F.regexp_extract(file_name, PERIOD, 2), F.regexp_extract(file_name, PERIOD, 3)
-    return begin != "", _month(begin, 1), _month(F.when(end == "", begin).otherwise(end), 12)
+def with_period(files: DataFrame, file_name: str = "name") -> DataFrame:
+    """Add ``series``, ``dated``, and the first and last month of the file name's period, ``start`` and ``end``, in months since year 0.
+
+    In steps, so that each pattern is matched once for a row.
+    """
+    name = F.col(file_name)
+    dates = F.struct(F.regexp_extract(name, PERIOD, 1).alias("begin"), F.regexp_extract(name, PERIOD, 2).alias("until"))
+    out = once(files.withColumn("series", series(name)), _dates=dates)
+    out = out.withColumns({"dated": F.col("_dates.begin") != "", "_end": F.when(F.col("_dates.until") == "", F.col("_dates.begin")).otherwise(F.col("_dates.until"))})
+    return out.withColumns({"start": _month(F.col("_dates.begin"), 1), "end": _month(F.col("_end"), 12)}).drop("_dates", "_end")
 
 
 def month_text(month: Column) -> Column:

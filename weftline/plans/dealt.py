@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths
 from weftline.operators import drift, intervals, proximity, survivors, timestamps
-from weftline.session import table
+from weftline.session import once, table
 
 #: A century of months.
 SHARD_MONTHS = 1200
@@ -15,10 +15,8 @@ SHARD_MONTHS = 1200
 
 def _covered_months(spark: SparkSession, sf: str) -> DataFrame:
     """``series, start, end``: the months that each file covers, by its name or else by the steps of its axis."""
-    name = paths.stem(F.col("path"))
-    files = table(spark, sf, "soft_links").select("path_id", name.alias("name")).where(F.col("name").isNotNull())
-    dated, first, last = paths.period_months(F.col("name"))
-    files = files.select("path_id", paths.series(F.col("name")).alias("series"), dated.alias("dated"), first.alias("start"), last.alias("end"))
+    files = once(table(spark, sf, "soft_links").select("path_id", "path"), name=paths.stem(F.col("path")))
+    files = paths.with_period(files.where(F.col("name").isNotNull()))
     by_name = files.where("dated").select("series", "start", "end")
     labels = timestamps.zone_offsets(table(spark, sf, "zone_labels"))
     undated = files.where("not dated").select("path_id", "series").distinct()
@@ -88,8 +86,8 @@ def _ranked_links(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "node_ranks").groupBy(paths.node_key(F.col("data_node")).alias("node")).agg(F.min("pref_rank").alias("node_rank"))
     day = survivors.version_day(F.col("version"), F.col("recorded_at"))
     checksum = survivors.usable_checksum(paths.unpacked(path, 2, F.col("checksum")))
-    rows = links.select(
-        paths.stem(path).alias("file_name"), "path_id", (-F.unix_date(day)).alias("age"), checksum.alias("sum"), paths.type_key(F.col("file_type")).alias("kind"), paths.node_key(F.col("data_node")).alias("node")
+    rows = once(links, file_name=paths.stem(path)).select(
+        "file_name", "path_id", (-F.unix_date(day)).alias("age"), checksum.alias("sum"), paths.type_key(F.col("file_type")).alias("kind"), paths.node_key(F.col("data_node")).alias("node")
     )
     return rows.join(kinds, "kind", "left").join(nodes, "node", "left")
 

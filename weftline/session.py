@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once for a row: later filters on them stay above, instead of repeating costly expressions
+    below. A one-element explode is the barrier; it stays in generated code and moves no data."""
+    for name, column in columns.items():
+        df = df.withColumn(name, F.explode(F.array(column)))
+    return df
+
+
 def small_rows(df: DataFrame, at_most: int = 10_000) -> list:
     """Rows of a reference table of fixed size. Raises instead of collecting a table that has outgrown ``at_most`` rows."""
     rows = df.limit(at_most + 1).collect()
