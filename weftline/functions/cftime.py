@@ -6,14 +6,14 @@ Dates are structs of fields, as some calendars have days that no SQL date has. R
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import calendars, reftime
 from weftline.functions.reftime import UNIT_MONTHS
 from weftline.model import FREQUENCY_STEP, FREQUENCY_UNIT
+from weftline.session import once
 
-_CUM = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
 _FIRST_GREGORIAN = 577735
 _DAY_US = 86_400_000_000
 
@@ -41,98 +41,76 @@ def month_length(year: Column, month: Column, calendar: str) -> Column:
     return F.when(month == 2, F.when(leap(year, calendar), 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
-def _day_of_year(year: Column, month: Column, day: Column, is_leap: Column) -> Column:
-    before = F.element_at(F.array(*map(F.lit, _CUM)), month.cast("int"))
-    return before + F.when((month > 2) & is_leap, 1).otherwise(0) + day - 1
+#: Unix days of the first day of 0001 (as Gregorian), and of years without and with a leap day.
+_YEAR_ONE, _COMMON, _LEAP = -719162, 0, 730
 
 
-def day_number(year: Column, month: Column, day: Column, calendar: str) -> Column:
-    """Days since 0001-01-01 of the calendar."""
-    return let(F.struct(year.cast("long").alias("y"), month.cast("long").alias("m"), day.cast("long").alias("d")), lambda v: _day_number(v["y"], v["m"], v["d"], calendar))
+def _in_common(month: Column) -> Column:
+    """Days of a common year before a month."""
+    return F.unix_date(F.make_date(F.lit(1970), month.cast("int"), F.lit(1)))
+
 
+def _in_leap(month: Column) -> Column:
+    return F.unix_date(F.make_date(F.lit(1972), month.cast("int"), F.lit(1))) - _LEAP
 
-def _day_number(year: Column, month: Column, day: Column, calendar: str) -> Column:
-    y = year - 1
+
+def day_number(year: Column, month: Column, day: Column, calendar: str) -> Column:
+    """Days since 0001-01-01 of the calendar. SQL dates, which are generated code, do the months; the calendar does the years."""
+    y = (year - 1).cast("long")
     if calendar == "360_day":
         return 360 * y + 30 * (month - 1) + day - 1
-    own = _day_of_year(year, month, day, leap(year, calendar))
-    if calendar in ("noleap", "all_leap"):
-        return (365 + (calendar == "all_leap")) * y + own
-    julian = 365 * y + _floor_div(y, 4) + _day_of_year(year, month, day, leap(year, "julian"))
+    if calendar == "noleap":
+        return 365 * y + _in_common(month) + day - 1
+    if calendar == "all_leap":
+        return 366 * y + _in_leap(month) + day - 1
+    julian = 365 * y + _floor_div(y, 4) + F.when(leap(year, "julian"), _in_leap(month)).otherwise(_in_common(month)) + day - 1
     if calendar == "julian":
         return julian
-    gregorian = 365 * y + _floor_div(y, 4) - _floor_div(y, 100) + _floor_div(y, 400) + _day_of_year(year, month, day, leap(year, "proleptic_gregorian"))
+    gregorian = F.unix_date(F.make_date(year.cast("int"), month.cast("int"), F.lit(1))).cast("long") - _YEAR_ONE + day - 1
     if calendar == "proleptic_gregorian":
         return gregorian
     return F.when(year * 10000 + month * 100 + day < 15821015, julian - 2).otherwise(gregorian)
 
 
-def _date(year: Column, day_of_year: Column, calendar: str) -> Column:
-    """struct<y, m, d> of a year and the 0-based day in it."""
-
-    def month(v: Column) -> Column:
-        late = F.lit(1)
-        for i, c in enumerate(_CUM[1:]):
-            late = late + (v["n"] >= (v["leap"] + c if i else F.lit(c))).cast("int")
-        return F.struct(v["y"].alias("y"), v["n"].alias("n"), v["leap"].alias("leap"), late.alias("m"))
-
-    def day(v: Column) -> Column:
-        before = F.element_at(F.array(*map(F.lit, _CUM)), v["m"]) + F.when(v["m"] > 2, v["leap"]).otherwise(0)
-        return F.struct(v["y"].alias("y"), v["m"].alias("m"), (v["n"] - before + 1).cast("int").alias("d"))
-
-    start = let(year, lambda y: F.struct(y.alias("y"), day_of_year(y).alias("n"), F.when(leap(y, calendar), 1).otherwise(0).alias("leap")))
-    return let(let(start, month), day)
+def _julian_year(n: Column) -> Column:
+    return 1 + 4 * _floor_div(n, 1461) + F.least(_floor_div(F.pmod(n, F.lit(1461).cast("long")), 365), F.lit(3))
 
 
-def _julian(n: Column) -> Column:
-    def in_year(n: Column) -> Column:
-        year = 1 + 4 * _floor_div(n, 1461) + F.least(_floor_div(F.pmod(n, F.lit(1461).cast("long")), 365), F.lit(3))
-        return _date(year, lambda y: n - (365 * (y - 1) + _floor_div(y - 1, 4)), "julian")
+def _unix(n: Column) -> Column:
+    return F.date_from_unix_date(n.cast("int"))
 
-    return let(n, in_year)
 
+def date_of(n: Column, calendar: str) -> tuple[Column, Column, Column]:
+    """(year, month, day) of days since 0001-01-01."""
+    n = n.cast("long")
+    if calendar == "360_day":
+        return _floor_div(n, 360) + 1, _floor_div(F.pmod(n, F.lit(360).cast("long")), 30) + 1, F.pmod(n, F.lit(30).cast("long")) + 1
+    if calendar in ("noleap", "all_leap"):
+        size, base = (365, _COMMON) if calendar == "noleap" else (366, _LEAP)
+        in_year = _unix(F.pmod(n, F.lit(size).cast("long")) + base)
+        return _floor_div(n, size) + 1, F.month(in_year), F.dayofmonth(in_year)
+    gregorian = _unix(n + _YEAR_ONE)
+    if calendar == "proleptic_gregorian":
+        return F.year(gregorian), F.month(gregorian), F.dayofmonth(gregorian)
 
-def _gregorian(n: Column) -> Column:
-    def in_year(n: Column) -> Column:
-        century = lambda r: F.least(_floor_div(r, 36524), F.lit(3))
-        rest = F.pmod(n, F.lit(146097).cast("long"))
-        parts = let(rest, lambda r: F.struct(century(r).alias("c"), (r - century(r) * 36524).alias("r")))
-        single = lambda r: F.least(_floor_div(F.pmod(r, F.lit(1461).cast("long")), 365), F.lit(3))
-        year = let(parts, lambda p: 1 + 400 * _floor_div(n, 146097) + 100 * p["c"] + 4 * _floor_div(p["r"], 1461) + single(p["r"]))
-        return _date(year, lambda y: n - (365 * (y - 1) + _floor_div(y - 1, 4) - _floor_div(y - 1, 100) + _floor_div(y - 1, 400)), "proleptic_gregorian")
-
-    return let(n, in_year)
-
-
-def date_of(n: Column, calendar: str) -> Column:
-    """struct<y, m, d> of days since 0001-01-01."""
-
-    def split(n: Column) -> Column:
-        if calendar == "360_day":
-            return F.struct((_floor_div(n, 360) + 1).alias("y"), (_floor_div(F.pmod(n, F.lit(360).cast("long")), 30) + 1).cast("int").alias("m"), (F.pmod(n, F.lit(30).cast("long")) + 1).cast("int").alias("d"))
-        if calendar in ("noleap", "all_leap"):
-            size = 365 + (calendar == "all_leap")
-            return _date(_floor_div(n, size) + 1, lambda y: n - size * (y - 1), calendar)
-        if calendar == "julian":
-            return _julian(n)
-        if calendar == "proleptic_gregorian":
-            return _gregorian(n)
-        return F.when(n < _FIRST_GREGORIAN, _julian(n + 2)).otherwise(_gregorian(n))
+    def julian(n: Column) -> tuple[Column, Column, Column]:
+        year = _julian_year(n)
+        in_year = _unix(n - 365 * (year - 1) - _floor_div(year - 1, 4) + F.when(leap(year, "julian"), _LEAP).otherwise(_COMMON))
+        return year, F.month(in_year), F.dayofmonth(in_year)
 
-    return let(n.cast("long"), split)
+    if calendar == "julian":
+        return julian(n)
+    new = F.year(gregorian), F.month(gregorian), F.dayofmonth(gregorian)
+    return tuple(F.when(n < _FIRST_GREGORIAN, a).otherwise(b) for a, b in zip(julian(n + 2), new))
 
 
 def fields(total: Column, calendar: str) -> Column:
     """Date struct of microseconds since 0001-01-01."""
-
-    def clock(v: Column) -> Column:
-        s = _floor_div(v["u"], 1_000_000)
-        sixty = F.lit(60).cast("long")
-        names = ("year", v["d"]["y"]), ("month", v["d"]["m"]), ("day", v["d"]["d"]), ("hour", _floor_div(s, 3600)), ("minute", F.pmod(_floor_div(s, 60), sixty)), ("second", F.pmod(s, sixty)), ("microsecond", F.pmod(v["u"], F.lit(1_000_000).cast("long")))
-        return F.struct(*(c.cast("int").alias(n) for n, c in names))
-
-    day = let(total, lambda t: F.struct(date_of(_floor_div(t, _DAY_US), calendar).alias("d"), F.pmod(t, F.lit(_DAY_US)).alias("u")))
-    return let(day, clock)
+    y, m, d = date_of(_floor_div(total, _DAY_US), calendar)
+    micros = F.pmod(total, F.lit(_DAY_US))
+    s, sixty = _floor_div(micros, 1_000_000), F.lit(60).cast("long")
+    names = ("year", y), ("month", m), ("day", d), ("hour", _floor_div(s, 3600)), ("minute", F.pmod(_floor_div(s, 60), sixty)), ("second", F.pmod(s, sixty)), ("microsecond", F.pmod(micros, F.lit(1_000_000).cast("long")))
+    return F.struct(*(c.cast("int").alias(n) for n, c in names))
 
 
 def calendar_of(name: str | None) -> str:
@@ -157,26 +135,42 @@ def epoch_of(units: str, calendar: str) -> tuple[str, float, int, tuple[int, int
     return word, reftime.UNIT_SECONDS.get(word, 0), micros, (int(y[0]), int(m[0]), int(d[0]))
 
 
-def decode(num: Column, units: str, calendar: str | None = "standard", shift_year_zero: bool = True) -> Column:
+def _usable(num: Column) -> Column:
+    n = num.cast("double")
+    return num.isNotNull() & ~F.isnan(n) & (F.abs(n) < reftime.FILL)
+
+
+def _total(num: Column, units: str, cal: str) -> Column:
+    """Microseconds since 0001-01-01 of usable numbers in relative units."""
+    word, seconds, epoch, (y, m, d) = epoch_of(units, cal)
+    if seconds:
+        return F.round(num.cast("double") * (seconds * 1e6)).cast("long") + F.lit(epoch)
+    step = UNIT_MONTHS[word]
+    start = lambda k: _month_start((k * step) + F.lit(y * 12 + m - 1).cast("long"), F.lit(d), cal) * _DAY_US
+    part = num.cast("double") - F.floor(num.cast("double"))
+    ends = let(F.floor(num.cast("double")).cast("long"), lambda k: F.struct(start(k).alias("a"), start(k + 1).alias("b")))
+    return let(ends, lambda e: e["a"] + F.round(part * (e["b"] - e["a"])).cast("long") + F.lit(epoch % _DAY_US))
+
+
+def decode(num: Column, units: str, calendar: str | None = "standard") -> Column:
     """Date struct of ``num`` in ``units`` (relative, month or year units, or ``day as %Y%m%d.%f``). Null and non-finite give null.
 
-    ``days since 0-01-01`` in 365-day years counts from year 0, which that calendar has, so nothing needs shifting here.
+    ``days since 0-01-01`` in 365-day years counts from year 0, which that calendar has, so nothing needs shifting here. For whole
+    columns of a table :func:`with_decoded` is faster.
     """
     cal = calendar_of(calendar)
-    good = num.isNotNull() & ~F.isnan(num.cast("double")) & (F.abs(num.cast("double")) < reftime.FILL)
-    num = F.when(good, num)
     if reftime.ABSOLUTE.fullmatch(units):
-        return F.when(good, decode_absolute(num))
-    word, seconds, epoch, (y, m, d) = epoch_of(units, cal)
-    if seconds:
-        total = F.round(num.cast("double") * (seconds * 1e6)).cast("long") + F.lit(epoch)
-    else:
-        step = UNIT_MONTHS[word]
-        start = lambda k: _month_start((k * step) + F.lit(y * 12 + m - 1).cast("long"), F.lit(d), cal) * _DAY_US
-        part = num.cast("double") - F.floor(num.cast("double"))
-        ends = let(F.floor(num.cast("double")).cast("long"), lambda k: F.struct(start(k).alias("a"), start(k + 1).alias("b")))
-        total = let(ends, lambda e: e["a"] + F.round(part * (e["b"] - e["a"])).cast("long") + F.lit(epoch % _DAY_US))
-    return F.when(good, fields(total, cal))
+        return F.when(_usable(num), decode_absolute(num))
+    return F.when(_usable(num), let(_total(num, units, cal), lambda t: fields(t, cal)))
+
+
+def with_decoded(df: DataFrame, num: str, units: str, calendar: str | None = "standard", name: str = "cf") -> DataFrame:
+    """Add the date struct ``name`` of the column ``num``, in stages that stay in generated code."""
+    cal, n = calendar_of(calendar), F.col(num)
+    if reftime.ABSOLUTE.fullmatch(units):
+        return df.withColumn(name, decode(n, units, calendar))
+    staged = once(df, _total=F.when(_usable(n), _total(n, units, cal)))
+    return staged.withColumn(name, F.when(F.col("_total").isNotNull(), fields(F.col("_total"), cal))).drop("_total")
 
 
 def _month_start(index: Column, day: Column, calendar: str) -> Column:

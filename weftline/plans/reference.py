@@ -429,7 +429,7 @@ def dimension_compatibility(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate,'%Y-%m-%d %H:%M:%S') AS at FROM lineitem")
 def decode_days(spark, sf):
     items = table(spark, sf, "lineitem").withColumn("n", F.datediff("l_shipdate", F.lit("1850-01-01").cast("date")).cast("double"))
-    return items.select("l_orderkey", "l_linenumber", cftime.date_print(cftime.decode(F.col("n"), "days since 1850-01-01", "standard")).alias("at"))
+    return cftime.with_decoded(items, "n", "days since 1850-01-01").select("l_orderkey", "l_linenumber", cftime.date_print(F.col("cf")).alias("at"))
 
 
 _NUMBERS = "n AS (SELECT DISTINCT o_custkey * 37 AS n FROM orders)"
@@ -441,23 +441,23 @@ def _numbers(spark, sf) -> DataFrame:
 
 @query(f"""WITH {_NUMBERS}, d AS (SELECT n, 2001 + n // 365 AS y, n % 365 AS d FROM n) SELECT n, y * 10000 + month(DATE '2001-01-01' + CAST(d AS INTEGER)) * 100 + day(DATE '2001-01-01' + CAST(d AS INTEGER)) AS ymd FROM d""")
 def decode_noleap(spark, sf):
-    return _numbers(spark, sf).select("n", _ymd(cftime.decode(F.col("n"), "days since 2001-01-01", "noleap")).alias("ymd"))
+    return cftime.with_decoded(_numbers(spark, sf), "n", "days since 2001-01-01", "noleap").select("n", _ymd(F.col("cf")).alias("ymd"))
 
 
 @query(f"""WITH {_NUMBERS}, d AS (SELECT n, 2000 + n // 366 AS y, n % 366 AS d FROM n) SELECT n, y * 10000 + month(DATE '2000-01-01' + CAST(d AS INTEGER)) * 100 + day(DATE '2000-01-01' + CAST(d AS INTEGER)) AS ymd FROM d""")
 def decode_all_leap(spark, sf):
-    return _numbers(spark, sf).select("n", _ymd(cftime.decode(F.col("n"), "days since 2000-01-01", "all_leap")).alias("ymd"))
+    return cftime.with_decoded(_numbers(spark, sf), "n", "days since 2000-01-01", "all_leap").select("n", _ymd(F.col("cf")).alias("ymd"))
 
 
 @query(f"WITH {_NUMBERS} SELECT n, (1850 + n // 360) * 10000 + (n % 360 // 30 + 1) * 100 + n % 30 + 1 AS ymd FROM n")
 def decode_360(spark, sf):
-    return _numbers(spark, sf).select("n", _ymd(cftime.decode(F.col("n"), "days since 1850-01-01", "360_day")).alias("ymd"))
+    return cftime.with_decoded(_numbers(spark, sf), "n", "days since 1850-01-01", "360_day").select("n", _ymd(F.col("cf")).alias("ymd"))
 
 
 @query(f"""WITH {_NUMBERS}, d AS (SELECT n, n // 1461 AS c, n % 1461 AS r FROM n), e AS (SELECT n, c, least(r // 365, 3) AS y, r - 365 * least(r // 365, 3) AS d FROM d)
 SELECT n, (1 + 4 * c + y) * 10000 + month(b + CAST(d AS INTEGER)) * 100 + day(b + CAST(d AS INTEGER)) AS ymd FROM (SELECT *, CASE WHEN y = 3 THEN DATE '2004-01-01' ELSE DATE '2001-01-01' END AS b FROM e)""")
 def decode_julian(spark, sf):
-    return _numbers(spark, sf).select("n", _ymd(cftime.decode(F.col("n"), "days since 0001-01-01", "julian")).alias("ymd"))
+    return cftime.with_decoded(_numbers(spark, sf), "n", "days since 0001-01-01", "julian").select("n", _ymd(F.col("cf")).alias("ymd"))
 
 
 def _ymd(cf: F.Column) -> F.Column:
@@ -471,8 +471,8 @@ def encode_days(spark, sf):
 
 @query("""SELECT o_orderkey, strftime(TIMESTAMP '1990-01-01' + to_months(CAST(o_custkey % 500 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS at FROM orders""")
 def months_since(spark, sf):
-    n = (F.col("o_custkey") % 500).cast("double")
-    return table(spark, sf, "orders").select("o_orderkey", cftime.date_print(cftime.decode(n, "months since 1990-01-01", "standard")).alias("at"))
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 500).cast("double").alias("n"))
+    return cftime.with_decoded(o, "n", "months since 1990-01-01").select("o_orderkey", cftime.date_print(F.col("cf")).alias("at"))
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_orderdate AS t, CASE WHEN day(o_orderdate) = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('month', o_orderdate) + INTERVAL 1 MONTH END AS nx FROM orders)
