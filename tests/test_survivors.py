@@ -1,0 +1,68 @@
+"""One record for each group: by precedence and by truth discovery."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+from weftline.operators import survivors
+
+
+def test_survivors(spark):
+    a = "a" * 31 + "b"
+    rows = [
+        ("f", 1, 5, 1, "s1"), ("f", 2, 3, 2, None), ("f", 3, 3, 9, "s3"), ("f", 2, 3, 2, None),
+        ("g", 4, None, 1, "s4"), ("g", 5, None, 1, None), ("lone", 6, 1, 1, a), ("lone", 6, 1, 1, a),
+        (None, 7, 1, 1, a), ("h", None, 1, 1, a), ("i", 8, 2, 1, None), ("i", 9, 4, 1, "old"),
+    ]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "name string, id long, age int, rank int, sum string, _best int, _record string")
+    got = {tuple(r) for r in survivors.survivors(df, ["name"], "id", ["age", "rank"], {"checksum": ("sum", 1)}).collect()}
+    assert got == {("f", 2, "s3"), ("g", 4, "s4"), ("i", 8, None)}
+    assert survivors.survivors(df.limit(0), ["name"], "id", ["age"], {}).count() == 0
+
+
+def test_versions_and_checksums(spark):
+    at = dt.datetime(2015, 6, 1, 3)
+    versions = {"v20150601": "2015-06-01", "v20150602": None, "20110101": "2011-01-01", "V20110101": "2011-01-01", "v2011-01-01": "2011-01-01", "v20110230": None, "v1": None, "latest": None, "": None, "v20101": None}
+    df = spark.createDataFrame([(v, at) for v in versions] + [(None, at), ("v20110101", None)], "v string, at timestamp_ntz")
+    got = [str(r[0]) if r[0] else None for r in df.select(survivors.version_day(F.col("v"), F.col("at"))).collect()]
+    assert got == [*versions.values(), None, None]
+    sums = {" " + "AB" * 16: "ab" * 16, "0" * 64: None, "f" * 32: None, "ab" * 15: None, "xy" * 16: None, "0" * 63 + "1": "0" * 63 + "1", "": None, None: None}
+    df = spark.createDataFrame([(s,) for s in sums], "s string")
+    assert [r[0] for r in df.select(survivors.usable_checksum(F.col("s"))).collect()] == list(sums.values())
+
+
+def reference(claims, rounds=10, tolerance=1e-3):
+    """Truth discovery in plain Python."""
+    said = {c for c in claims if None not in c}
+    items = {}
+    for g, f, v, s in said:
+        items.setdefault((g, f), {}).setdefault(v, set()).add(s)
+    total = {s: sum(1 for c in said if c[3] == s) for s in {c[3] for c in said}}
+    sure = {s: sum(1 for (g, f, v, t) in said if t == s and len(items[g, f]) == 1) for s in total}
+    w = {s: (sure[s] + (total[s] - sure[s]) * 0.5 + 0.5) / (total[s] + 1) for s in total}
+    best = lambda: {k: min(vs, key=lambda v: (-round(sum(w[s] for s in vs[v]), 9), -len(vs[v]), v)) for k, vs in items.items()}
+    for _ in range(rounds):
+        true = best()
+        new = {s: (sum(1 for (g, f, v, t) in said if t == s and true[g, f] == v) + 0.5) / (total[s] + 1) for s in total}
+        change, w = max(abs(new[s] - w[s]) for s in w), new
+        if change <= tolerance:
+            break
+    return {(*k, v) for k, v in best().items()}, w
+
+
+def test_truth_against_plain_python(spark):
+    import random
+
+    rng, claims = random.Random(7), []
+    for g in range(60):
+        truth = f"t{g}"
+        for s in range(8):
+            if rng.random() < 0.6:
+                claims.append((f"g{g}", "f", truth if rng.random() < (0.95 if s < 3 else 0.4) else f"w{rng.randrange(2)}", f"s{s}"))
+    claims += [("g0", "f", None, "s1"), (None, "f", "v", "s1"), ("g1", "f", "v", None), claims[0], ("solo", "f", "v", "s9")]
+    df = spark.createDataFrame(claims, "grp string, field string, value string, node string")
+    chosen, weights = survivors.truth(df, ["grp"], "field", "value", "node")
+    want, w = reference(claims)
+    assert {(r["grp"], r["field"], r["value"]) for r in chosen.collect()} == want
+    got = {r["node"]: r["reliability"] for r in weights.collect()}
+    assert got.keys() == w.keys() and all(abs(got[k] - w[k]) < 1e-6 for k in w)
+    assert survivors.truth(df.limit(0), ["grp"], "field", "value", "node")[0].count() == 0
