@@ -10,57 +10,70 @@ import numpy as np
 def partition(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(window of each item, sizes of the windows) by Karmarkar-Karp multiway differencing.
 
-    Every partial partition is a row of ``k`` window sums. The two of greatest imbalance are merged, the largest window of one with
-    the smallest of the other and so on, so that their imbalances cancel, until one is left. Windows are joined as linked lists, so
-    that a merge costs only the ordering of ``k`` numbers.
+    Every partial partition is a row of ``k`` window sums, of which only those that hold anything are kept, largest first. The two
+    of greatest imbalance are merged, the largest window of one with the smallest of the other and so on, so that their imbalances
+    cancel, until one is left. Windows are joined as linked lists, so that a merge costs only the ordering of ``k`` numbers. While a
+    row has empty windows, its imbalance is its largest window, which no single item left exceeds: it would be merged with the next
+    largest items one by one, and takes them all at once.
     """
     n = len(sizes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(k, np.int64)
     if k == 1:
         return np.zeros(n, np.int64), np.array([sizes.sum()])
-    # lists of items: first item, last item, and the item after each
-    after = np.full(n, -1, np.int64)
-    rows: list = [None] * n
-    heap = []
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        heap.append((-int(sizes[i]), i))
-        rows[i] = (np.array([sizes[i]]), np.array([i]), np.array([i]))  # only the windows that hold anything, largest first
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        (sa, fa, la), (sb, fb, lb) = rows[a], rows[b]
-        rows[b] = None
-        if len(sa) < len(sb):
-            (sa, fa, la), (sb, fb, lb) = (sb, fb, lb), (sa, fa, la)
-        free = k - len(sa)
-        fresh = min(free, len(sb))  # the largest of b go into windows that are empty in a
-        over = len(sb) - fresh  # the others, from b's smaller ones, onto a's smallest; b's larger first onto a's smaller
-        sums, first, last = [sa], [fa], [la]
-        if over:
-            m = len(sa)
-            on = np.arange(m - over, m)[::-1]
-            sa, fa, la = sa.copy(), fa.copy(), la.copy()
-            sa[on] += sb[fresh:]
-            after[la[on]] = fb[fresh:]
-            la[on] = lb[fresh:]
-            sums, first, last = [sa], [fa], [la]
-        if fresh:
-            sums.append(sb[:fresh])
-            first.append(fb[:fresh])
-            last.append(lb[:fresh])
-        s, f, z = np.concatenate(sums), np.concatenate(first), np.concatenate(last)
-        order = np.argsort(-s, kind="stable")
-        rows[a] = s[order], f[order], z[order]
-        spread = int(s[order[0]] - (s[order[-1]] if len(s) == k else 0))
-        heapq.heappush(heap, (-spread, a))
-    s, f, _ = rows[heap[0][1]]
-    window = np.zeros(n, np.int64)
-    for w, i in enumerate(f.tolist()):
-        while i >= 0:
-            window[i] = w
-            i = int(after[i])
+    after = np.full(n, -1, np.int64)  # the next item of the same window
+    order = np.argsort(-sizes, kind="stable")
+    singles = sizes[order]
+    at = 0  # the first item that is in no row yet
+    rows: dict[int, tuple] = {}
+    heap: list[tuple[int, int]] = []
+
+    def pop() -> tuple:
+        nonlocal at
+        if at < n and (not heap or singles[at] >= -heap[0][0]):
+            at += 1
+            return singles[at - 1 : at], order[at - 1 : at], order[at - 1 : at]
+        return rows.pop(heapq.heappop(heap)[1])
+
+    turn = 0
+    while True:
+        s, first, last = pop()
+        free = k - len(s)
+        if free and at < n:
+            # of equal imbalance, rows come after items
+            low = -heap[0][0] if heap else 0
+            stop = min(at + free, at + int(np.searchsorted(-singles[at:], -low, "right")))
+            if stop > at:
+                s, first, last = np.concatenate([s, singles[at:stop]]), np.concatenate([first, order[at:stop]]), np.concatenate([last, order[at:stop]])
+                at = stop
+                heapq.heappush(heap, (-int(s[0] - (s[-1] if len(s) == k else 0)), turn))
+                rows[turn] = s, first, last
+                turn += 1
+                continue
+        if not heap and at >= n:
+            break
+        sb, fb, lb = pop()
+        if len(s) < len(sb):
+            (s, first, last), (sb, fb, lb) = (sb, fb, lb), (s, first, last)
+        m = len(s)
+        fresh = min(k - m, len(sb))  # the largest windows of the other row go where this one is empty, the rest onto its smallest
+        on = np.arange(m - (len(sb) - fresh), m)[::-1]
+        s, first, last = s.copy(), first.copy(), last.copy()
+        s[on] += sb[fresh:]
+        after[last[on]] = fb[fresh:]
+        last[on] = lb[fresh:]
+        s, first, last = np.concatenate([s, sb[:fresh]]), np.concatenate([first, fb[:fresh]]), np.concatenate([last, lb[:fresh]])
+        o = np.argsort(-s, kind="stable")
+        s, first, last = s[o], first[o], last[o]
+        heapq.heappush(heap, (-int(s[0] - (s[-1] if len(s) == k else 0)), turn))
+        rows[turn] = s, first, last
+        turn += 1
+    window = np.full(n, -1, np.int64)
+    here, which = first.copy(), np.arange(len(first))
+    while len(here):
+        window[here] = which
+        here = after[here]
+        which, here = which[here >= 0], here[here >= 0]
     return window, np.concatenate([s, np.zeros(k - len(s), s.dtype)])
 
 
@@ -69,8 +82,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
     Begins with the fewest windows that the total needs; while one exceeds the capacity, the number rises by what the excess needs.
     """
-    total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
+    k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
         window, sums = partition(sizes, k)
         excess = int(np.maximum(sums - capacity, 0).sum())
