@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import tokens
+from weftline.operators.ranking import running_total
 from weftline.session import cut, small_rows
 
 #: Tokens of a block; documents stay whole, so a block ends with the document that fills it.
@@ -46,14 +47,6 @@ def permute(index: Column, size: Column, key: Column) -> Column:
     return walk(index, size, key)
 
 
-def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows before, by ``bucket`` and ``order``. In two levels: no window holds more than a bucket's rows, or one row per bucket."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    within = F.sum(value).over(Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.join(before, [*keys, bucket]).withColumn(name, (F.col("_before") + F.coalesce(within, F.lit(0))).cast("long")).drop("_before")
-
-
 class Mix:
     """Documents of several sources, combined so that each has its target share of all tokens.
 
@@ -116,12 +109,19 @@ class Mix:
         for source in sorted(self.plan):
             passes, _, blocks = self.plan[source]
             size = passes * blocks + partial.get(source, 0)
-            ranges.append((source, at, at + size, passes * blocks, blocks))
+            if size:
+                ranges.append((source, at, at + size, passes * blocks, blocks))
             at += size
-        position = permute(F.col("id"), F.lit(at), F.lit(self.seed))
-        slots = self.spark.range(at).select("id", position.alias("position"))
-        held = F.broadcast(self.spark.createDataFrame(ranges or [(None, 0, 0, 0, 1)], "source string, low long, high long, full long, blocks long"))
-        slots = slots.join(held, (F.col("position") >= F.col("low")) & (F.col("position") < F.col("high")))
+        lows = np.array([r[1] for r in ranges] or [0])
+
+        @F.pandas_udf("int")
+        def owner(position: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(lows, position.to_numpy(), "right").astype(np.int32) - 1)
+
+        slots = self.spark.range(at).select("id", permute(F.col("id"), F.lit(at), F.lit(self.seed)).alias("position"))
+        slots = slots.withColumn("owner", owner("position"))
+        held = F.broadcast(self.spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "owner int, source string, low long, high long, full long, blocks long"))
+        slots = slots.join(held, "owner")
         j, late = F.col("position") - F.col("low"), F.col("position") - F.col("low") >= F.col("full")
         slots = slots.select("id", "source", late.alias("late"), F.when(late, j - F.col("full")).otherwise(j % F.col("blocks")).alias("at"))
         index = self.blocks.select("source", F.lit(False).alias("late"), F.col("index").alias("at"), "run").unionByName(self.last.select("source", F.lit(True).alias("late"), F.col("rank").alias("at"), "run"))
