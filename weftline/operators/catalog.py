@@ -47,7 +47,7 @@ def majority_rank(catalog: DataFrame, kind: str, name: str = "dimension_type_id"
     """Add the rank of a dimension type by its number of files, 1 for the most common; ties by name."""
     counts = catalog.groupBy(kind).agg(F.count("*").alias("_n"))
     ranked = counts.withColumn(name, F.row_number().over(Window.orderBy(F.desc("_n"), kind))).drop("_n")  # a row per type
-    return catalog.join(F.broadcast(ranked.limit(100_000)), kind)
+    return catalog.join(ranked, kind)
 
 
 def best_per_time(file_times: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

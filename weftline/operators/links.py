@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.model import CONTAINER
 from weftline.operators import catalog as cat
+from weftline.session import small_rows
 
 
 def build_links(file_times: DataFrame, catalog: DataFrame, keys: list[str], time: str, on: str, order: list[str], idx: str = "idx") -> DataFrame:
@@ -80,7 +81,7 @@ class SoftLinks:
 
     def variables(self, root: list[str], time: str = "time") -> list[str]:
         """Variables of the root that have links, without time; all of the root if there are no links."""
-        linked = {r["var"] for r in self.links.select("var").distinct().limit(100_000).collect()}
+        linked = {r["var"] for r in small_rows(self.links.select("var").distinct(), 100_000)}
         named = [v for v in root if v.lower() != time]
         return [v for v in named if v in linked] if linked else named
 
