@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import differencing, tokens
-from weftline.session import cut
+from weftline.session import cut, small_rows
 
 #: Windows that a shard of items fills on average. More windows leave less room in each, and take longer to balance.
 WINDOWS = 256
@@ -55,7 +55,9 @@ def fill_containers(documents: DataFrame, capacities: DataFrame, windows: int =
     sized = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tokens.n_tokens(F.col("text"), folder, vocabulary).alias("n"))
     sized = cut(sized.where("n > 0"))
     kinds = capacities.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
-    all_kinds = sized.crossJoin(F.broadcast(kinds.limit(1000)))  # a product with a table of a few rows
+    held = small_rows(kinds)
+    all_kinds = sized.withColumn("kind", F.explode(F.array(*(F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["capacity"]).alias("capacity")) for r in held)))) if held else sized.limit(0).withColumn("kind", F.struct(F.lit("").alias("container_kind"), F.lit(1).alias("capacity")))
+    all_kinds = all_kinds.select("doc_id", "n", "kind.*")
     whole = (F.col("n") / F.col("capacity")).cast("int")
     full = all_kinds.where("n >= capacity").select("container_kind", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
     begin = F.col("piece") * F.col("capacity")
