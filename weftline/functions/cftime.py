@@ -122,12 +122,12 @@ def calendar_of(name: str | None) -> str:
 
 def epoch_of(units: str, calendar: str) -> tuple[str, float, int, tuple[int, int, int]]:
     """(unit word, seconds of a unit or 0, microseconds of the epoch, its date) of written units."""
-    mask = reftime.mask_of(units)
-    parser = reftime.parser_of(mask)
-    if parser is None:
+    head = reftime.split_units(units)
+    parser = head and reftime.parser_of(reftime.mask_of(head[2]))
+    if not parser or head[1] not in reftime.SINCE:
         raise ValueError(f"unusable units {units!r}")
-    y, m, d, clock, offset, fraction, ok = reftime._reference(parser, [units], calendar, {"UTC": 0, "GMT": 0, "Z": 0}, "")
-    word = parser.word([units], "unit")[0].lower()
+    word = head[0]
+    y, m, d, clock, offset, fraction, ok = reftime.reference_time(parser, [head[2]], calendar, {"UTC": 0, "GMT": 0, "Z": 0}, "")
     if not ok[0] or word not in reftime.UNIT_SECONDS and word not in UNIT_MONTHS:
         raise ValueError(f"unusable units {units!r}")
     days = int(calendars.to_days(y, m, d, calendar)[0])

@@ -1,8 +1,9 @@
 """Written time units ("days since 1-JAN-1850 03:00 CET") to exact time, by shape mask.
 
-Every string is tokenised into a mask of character classes (digit ``9``, letter ``a``, anything else itself). All strings of one
-mask have their fields at the same places, so a mask is matched against the grammar once, which gives a parser of fixed
-positions, and all strings of the mask are converted together in numpy.
+The unit and ``since`` are split off; the reference time after them, with blanks collapsed and single digits padded, is tokenised into
+a mask of character classes (digit ``9``, letter ``a``, anything else itself). All strings of one mask have their fields at the same
+places, so a mask is matched against the grammar once, which gives a parser of fixed positions, and all strings of the mask are
+converted together in numpy.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ _TIME = (
     r"|(?P<h2>9{2})(?P<n2>9{2})(?:(?P<q2>9{2}))?|(?P<h3>9{1,2})))?"
 )
 _ZONE = r"(?: *(?P<ap>aa)(?= |$|[-+]))? *(?:(?P<zone>a+(?:[/_-]a+)*)?(?P<sign>[-+])(?P<oh>9{1,2})(?::?(?P<on>9{2}))?|(?P<zone2>a+(?:[/_-]a+)*))?"
-_SHAPE = re.compile(rf" *(?P<unit>a+) +(?P<since>a+) +{_DATE}{_TIME}{_ZONE} *")
+_SHAPE = re.compile(rf"{_DATE}{_TIME}{_ZONE}")
+_HEAD = re.compile(r"\s*([A-Za-z]+)\s+([A-Za-z]+)\s+(\S.*)", re.S)
+_LONE = re.compile(r"(?<![0-9])[0-9](?![0-9])")
 
 
 @dataclass(frozen=True)
@@ -74,6 +77,12 @@ class Parser:
         return None
 
 
+def split_units(text: str) -> tuple[str, str, str] | None:
+    """(unit, since, reference time), the words in lower case, the time with single blanks and no lone digits; None if there are none."""
+    m = _HEAD.fullmatch(text)
+    return m and (m.group(1).lower(), m.group(2).lower(), _LONE.sub(r"0\g<0>", " ".join(m.group(3).split())))
+
+
 def mask_of(text: str) -> str:
     return text.translate(_CLASSES)
 
@@ -116,7 +125,7 @@ def _zone_seconds(p: Parser, texts, codes, local, labels: dict[str, int], versio
     return offset + signed, known
 
 
-def _reference(p: Parser, texts: list[str], calendar: str, labels, version):
+def reference_time(p: Parser, texts: list[str], calendar: str, labels, version):
     """(year, month, day, second of the day, zone offset in seconds, fraction of a second, usable) of the reference times."""
     n = len(texts)
     codes = np.array(texts).view(np.uint32).reshape(n, -1)
@@ -153,13 +162,14 @@ def _absolute(values: np.ndarray, calendar: str):
     return days * 86400 + np.floor((values - whole) * 86400 + 0.5).astype(np.int64), good
 
 
-def _relative(p: Parser, texts, values, calendar, labels, version):
-    year, month, day, clock, offset, fraction, ok = _reference(p, texts, calendar, labels, version)
+def _relative(p: Parser, heads, values, calendar, labels, version):
+    texts = [x[2] for x in heads]
+    year, month, day, clock, offset, fraction, ok = reference_time(p, texts, calendar, labels, version)
     n = len(texts)
-    unit = p.word(texts, "unit")
+    unit = [x[0] for x in heads]
     seconds, timed = _lookup(unit, UNIT_SECONDS, n, 1.0)
     months, monthly = _lookup(unit, UNIT_MONTHS, n, 0)
-    ok &= (timed | monthly) & np.array([x.lower() in SINCE for x in p.word(texts, "since")])
+    ok &= (timed | monthly) & np.array([x[1] in SINCE for x in heads])
     steps = np.where(monthly, values * months, 0.0)
     whole = np.floor(steps)
     index = year * 12 + month - 1 + whole.astype(np.int64)
@@ -182,10 +192,16 @@ def decode(units: list, names: list, values: np.ndarray, labels: dict[str, int],
     values = np.asarray(values, dtype=float)
     usable = np.isfinite(values) & (np.abs(values) < FILL)
     groups: dict[tuple, list[int]] = {}
+    heads: list = [None] * n
     for i in np.flatnonzero(usable):
         text, calendar = units[i], cal.calendar_of(names[i])
-        if text is not None and calendar:
-            groups.setdefault((calendar, "absolute" if ABSOLUTE.fullmatch(text) else mask_of(text)), []).append(i)
+        if text is None or not calendar:
+            continue
+        if ABSOLUTE.fullmatch(text):
+            groups.setdefault((calendar, "absolute"), []).append(i)
+        elif head := split_units(text):
+            heads[i] = head
+            groups.setdefault((calendar, mask_of(head[2])), []).append(i)
     out = {k: np.zeros(n, np.int64) for k in ("year", "month", "day", "second")}
     of_calendar: dict[str, list[int]] = {}
     for (calendar, mask), rows in groups.items():
@@ -193,7 +209,7 @@ def decode(units: list, names: list, values: np.ndarray, labels: dict[str, int],
         if mask == "absolute":
             total[at], ok[at] = _absolute(values[at], calendar)
         elif p := parser_of(mask):
-            total[at], ok[at] = _relative(p, [units[i] for i in rows], values[at], calendar, labels, version)
+            total[at], ok[at] = _relative(p, [heads[i] for i in rows], values[at], calendar, labels, version)
         of_calendar.setdefault(calendar, []).extend(rows)
     for calendar, rows in of_calendar.items():
         at = np.array(rows)
