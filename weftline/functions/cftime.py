@@ -224,8 +224,14 @@ def encode(cf: Column, units: str, calendar: str | None = "standard", exact_frac
 
 
 def rebase(num: Column, units: str, to: str, calendar: str | None = "standard") -> Column:
-    """``num`` of one unit in another."""
-    return num if units == to else encode(decode(num, units, calendar), to, calendar)
+    """``num`` of one unit in another. Into time units no date is formed: both count microseconds."""
+    if units == to:
+        return num
+    cal = calendar_of(calendar)
+    _, seconds, epoch, _ = epoch_of(to, cal)
+    if seconds and not reftime.ABSOLUTE.fullmatch(units):
+        return F.when(_usable(num), (_total(num, units, cal) - F.lit(epoch)) / (seconds * 1e6))
+    return encode(decode(num, units, calendar), to, calendar)
 
 
 def date_print(cf: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import cftime, paths
-from weftline.operators import align, audit, catalog, geo, links, merge, select
+from weftline.operators import align, audit, catalog, dataset, geo, links, merge, select
 from weftline.session import table
 from weftline.sources.files import digest
 
@@ -619,3 +619,35 @@ def widened_bounds(spark, sf):
     n = F.when(F.col("k") % 2 == 0, 35).otherwise(30)
     bounds = r.select("k", F.explode(F.sequence(F.lit(0), n - 1)).alias("c")).select("k", (F.col("c") * 10.0).alias("low"), (F.col("c") * 10.0 + 10).alias("high"))
     return geo.widened_bounds(bounds, ["k"])
+
+
+# ---------------------------------------------------------------- datasets
+
+
+@query("""WITH n AS (SELECT DISTINCT n_nationkey AS k FROM nation) SELECT k, i, CAST(d AS DOUBLE) AS t FROM (SELECT k, unnest(range(12)) AS i, unnest([15.5,45.0,74.5,105.0,135.5,166.0,196.5,227.5,258.0,288.5,319.0,349.5]) + 365 * k AS d FROM n)""")
+def axis_from_name(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).distinct()
+    begin, until = (F.concat((F.col("k") + 1850).cast("string"), F.lit(m)) for m in ("01", "12"))
+    made = n.select("k", F.posexplode(dataset.axis_from_name(begin, until, "mon", "days since 1850-01-01", "noleap", False)).alias("i", "t"))
+    return made.select("k", F.col("i").cast("long").alias("i"), "t")
+
+
+@query("SELECT p_partkey, CAST(greatest(p_size, 3) * ((p_size + 1) // 2) AS BIGINT) AS elements FROM part")
+def largest_hyperslab(spark, sf):
+    n = F.col("p_size").cast("long")
+    piece = lambda a, b, s: F.struct(a.alias("start"), b.alias("stop"), s.alias("step"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    slices = F.array(F.array(piece(zero, n, one), piece(one, one + 3, one)), F.array(piece(zero, n, F.lit(2).cast("long"))))
+    return table(spark, sf, "part").select("p_partkey", dataset.largest_hyperslab(slices).alias("elements"))
+
+
+@query("SELECT s_suppkey, '[{\"name\":\"lat\",\"length\":' || s_nationkey || '},{\"name\":\"lon\",\"length\":4}]' AS kind FROM supplier")
+def dimension_fingerprint(spark, sf):
+    d = lambda n, k: F.struct(F.lit(n).alias("name"), k.cast("int").alias("length"))
+    return table(spark, sf, "supplier").select("s_suppkey", merge.dimension_type(F.array(d("Time", F.lit(9)), d("lat", F.col("s_nationkey")), d("lon", F.lit(4)))).alias("kind"))
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', TIMESTAMP '1850-01-01', o_orderdate) AS DOUBLE) * 24 AS hours FROM orders")
+def rebase_units(spark, sf):
+    made = dataset.time_axis(table(spark, sf, "orders"), "o_orderdate", "days since 1850-01-01")
+    return cftime.with_decoded(made, "time_num", "days since 1850-01-01").select("o_orderkey", cftime.encode(F.col("cf"), "hours since 1850-01-01").alias("hours"))
