@@ -110,8 +110,9 @@ def axis_from_name(begin: Column, until: Column, frequency: str, units: str, cal
 
     own, step = _in_frequency_units(units, frequency), FREQUENCY_STEP[frequency]
     first, last = (cftime.encode(cftime.fields_of_digits(x), own, calendar) for x in (begin, until))
-    count = (F.ceil((last - first) / step) + 1).cast("int")
-    return F.transform(cftime.axis_numbers(count, frequency, first, instant), lambda t: cftime.rebase(t, own, units, calendar))
+    count = lambda v: (F.ceil((v["l"] - v["f"]) / step) + 1).cast("int")
+    numbers = cftime.let(F.struct(first.alias("f"), last.alias("l")), lambda v: cftime.axis_numbers(count(v), frequency, v["f"], instant))
+    return F.transform(numbers, lambda t: cftime.rebase(t, own, units, calendar))
 
 
 def largest_hyperslab(slices: Column) -> Column:
