@@ -52,12 +52,22 @@ class Slabs:
         sine = F.sin(F.radians(F.lit(self.degrees))) / F.cos(F.radians(F.least(far, F.lit(90.0 - 1e-9))))
         return F.when((far >= 90.0 - self.degrees) | (sine > 0.5), 360.0).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) * (1 + 1e-9))
 
+    def reach_of(self, slab: np.ndarray) -> np.ndarray:
+        """As :meth:`reach`, in numpy; equal but for rounding, which the searches allow for."""
+        far = np.maximum(np.abs(slab * self.height - 90.0), np.abs((slab + 1) * self.height - 90.0)) + self.degrees
+        sine = math.sin(math.radians(self.degrees)) / np.cos(np.radians(np.minimum(far, 90.0 - 1e-9)))
+        return np.where((far >= 90.0 - self.degrees) | (sine > 0.5), 360.0, np.degrees(np.arcsin(np.minimum(sine, 1.0))) * (1 + 1e-9))
+
     def cells(self, reach: Column) -> Column:
         """Number of cells of a slab."""
         return F.greatest(F.lit(1), F.floor(360.0 / (self.WIDTHS * reach))).cast("long")
 
 
 _EDGE, _POINT = 0, 1
+#: A place is slab * _CELLS + cell.
+_CELLS = 2**32
+#: Split cells are joined by broadcast up to so many of them, by a shuffle beyond.
+_HOT = 10_000
 
 
 #: Distance between the ranges of two cells on the common axis of a batch, in degrees; more than any x within a cell.
@@ -73,8 +83,8 @@ def _sweep(km: float):
     them all. From one batch to the next only the regions are kept that a later point of the last cell may lie in, so that memory is
     bounded whatever the size of a cell.
     """
-    limit = (2 * math.sin(km / EARTH_KM / 2)) ** 2
-    names = ["id", "vx", "vy", "vz"]
+    limit, slabs = (2 * math.sin(km / EARTH_KM / 2)) ** 2, Slabs(km)
+    axes = ["vx", "vy", "vz"]
 
     def near(edges: dict, points: dict) -> Iterator[pd.DataFrame]:
         low = np.searchsorted(edges["x"], points["x"] - 2 * points["reach"] - 1e-6, "left")
@@ -88,7 +98,7 @@ def _sweep(km: float):
             a = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[begin:stop], n)
             keep = edges["id"][a] < points["id"][b]
             a, b = a[keep], b[keep]
-            keep = sum((edges[v][a] - points[v][b]) ** 2 for v in names[1:]) <= limit
+            keep = sum((edges[v][a] - points[v][b]) ** 2 for v in axes) <= limit
             if keep.any():
                 yield pd.DataFrame({"point_a": edges["id"][a[keep]], "point_b": points["id"][b[keep]]})
             begin = stop
@@ -96,9 +106,11 @@ def _sweep(km: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, last_cell = None, None
         for batch in batches:
-            cells = batch[["slab", "cell", "salt"]].to_numpy()
+            cells = batch[["place", "salt"]].to_numpy()
             run_no = np.concatenate([[0], np.cumsum((cells[1:] != cells[:-1]).any(axis=1))])
-            rows = {c: batch[c].to_numpy() for c in [*names, "reach"]} | {"x": batch["x"].to_numpy() + _APART * run_no}
+            lat, lon = np.radians(batch["lat"].to_numpy()), np.radians(batch["lon"].to_numpy())
+            rows = {"id": batch["id"].to_numpy(), "x": batch["x"].to_numpy() + _APART * run_no, "reach": slabs.reach_of(cells[:, 0] // _CELLS)}
+            rows |= {"vx": np.cos(lat) * np.cos(lon), "vy": np.cos(lat) * np.sin(lon), "vz": np.sin(lat)}
             is_edge = batch["kind"].to_numpy() == _EDGE
             edges = {k: v[is_edge] for k, v in rows.items()}
             if kept is not None and (cells[0] == last_cell).all():
@@ -125,16 +137,14 @@ def near_pairs(points: DataFrame, km: float, key: str = "point_id", lat: str = "
     p = points.where(usable_position(F.col(lat), F.col(lon)) & F.col(key).isNotNull())
     p = p.select(F.col(key).cast("long").alias("id"), F.col(lat).alias("lat"), F.pmod(F.col(lon), F.lit(360.0)).alias("lon"))
     p = p.withColumn("lon", F.when(F.col("lon") >= 360.0, 0.0).otherwise(F.col("lon")))
-    la, lo = F.radians("lat"), F.radians("lon")
-    p = p.withColumns({"vx": F.cos(la) * F.cos(lo), "vy": F.cos(la) * F.sin(lo), "vz": F.sin(la)})
-    fields = "id", "vx", "vy", "vz"
+    fields = "id", "lat", "lon"
 
     def located(df: DataFrame) -> DataFrame:
         return df.withColumn("reach", slabs.reach(F.col("slab"))).withColumn("n_cells", slabs.cells(F.col("reach")))
 
-    cell = lambda x: F.floor(F.pmod(x, F.lit(360.0)) / (360.0 / F.col("n_cells")))
+    place = lambda cell: F.col("slab") * _CELLS + cell
     home = located(p.withColumn("slab", slabs.slab(F.col("lat"))))
-    home = home.select(*fields, "slab", "reach", F.least(cell(F.col("lon")), F.col("n_cells") - 1).alias("cell"), F.col("lon").alias("x"), F.lit(_POINT).alias("kind"))
+    home = home.select(*fields, place(F.least(F.floor(F.col("lon") / (360.0 / F.col("n_cells"))), F.col("n_cells") - 1)).alias("place"), F.col("lon").alias("x"), F.lit(_POINT).alias("kind"))
 
     span = F.sequence(slabs.slab(F.col("lat") - slabs.degrees), slabs.slab(F.col("lat") + slabs.degrees))
     cut = located(p.withColumn("slab", F.explode(span)))
@@ -148,13 +158,20 @@ def near_pairs(points: DataFrame, km: float, key: str = "point_id", lat: str = "
     cut = cut.withColumns({"x": x, "cell": F.pmod("touched", F.col("n_cells"))})
     # a slab of one cell that regions don't span whole: copies on both sides of the seam
     sides = F.when(whole & (F.col("reach") < 360.0), F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))).otherwise(F.array(F.lit(0.0)))
-    cut = cut.withColumn("side", F.explode(sides)).select(*fields, "slab", "reach", "cell", (F.col("x") + F.col("side")).alias("x"), F.lit(_EDGE).alias("kind"))
+    cut = cut.withColumn("side", F.explode(sides)).select(*fields, place(F.col("cell")).alias("place"), (F.col("x") + F.col("side")).alias("x"), F.lit(_EDGE).alias("kind"))
 
-    hot = home.groupBy("slab", "cell").count().where(F.col("count") > block).select("slab", "cell", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    # at most one place in ``block`` points is hot: few, as a rule, but as their number grows with the points it is checked
+    hot = home.groupBy("place").count().where(F.col("count") > block).select("place", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    first = hot.limit(_HOT + 1).collect()
+    if len(first) <= _HOT:
+        hot = F.broadcast(points.sparkSession.createDataFrame(first, "place long, parts int"))
     dealt = F.coalesce(F.col("parts"), F.lit(1))
-    home = home.join(hot, ["slab", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), dealt).cast("int")).drop("parts")
-    cut = cut.join(hot, ["slab", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("parts")
-    rows = home.unionByName(cut).repartition("slab", "cell", "salt").sortWithinPartitions("slab", "cell", "salt", "x", "kind", "id")
+    if first:
+        home = home.join(hot, "place", "left").withColumn("salt", F.pmod(F.xxhash64("id"), dealt).cast("int")).drop("parts")
+        cut = cut.join(hot, "place", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("parts")
+    else:
+        home, cut = home.withColumn("salt", F.lit(0)), cut.withColumn("salt", F.lit(0))
+    rows = home.unionByName(cut).repartition("place", "salt").sortWithinPartitions("place", "salt", "x", "kind", "id")
     found = rows.mapInPandas(_sweep(km), "point_a long, point_b long")
     return found.distinct()
 
