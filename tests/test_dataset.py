@@ -11,7 +11,7 @@ def test_tree(spark, tmp_path):
     assert {k: df.count() for k, df in cut.tables.items()} == {"/": 1, "/a": 1, "/a/b": 1} and "w" in cut.tables["/"].columns
     assert {k: df.count() for k, df in d.map(check_empty=["v"]).tables.items()} == {"/": 2, "/a": 0, "/a/b": 2}
     assert set(d.group("/a").tables) == {"/", "/b"} and d.group("/a").attributes == {"/": {"y": "2"}}
-    merged = d.merge_attributes(dataset.Dataset({}, {"/": {"x": "9", "z": "3", "cdb_query_temp": "t"}}))
+    merged = d.merge_attributes(dataset.Dataset({}, {"/": {"x": "9", "z": "3", "temporary": "t"}}), "temporary")
     assert merged.attributes["/"] == {"x": "1", "z": "3"}
     d.save(f"{tmp_path}/d")
     assert dataset.Dataset.load(spark, f"{tmp_path}/d", ["/", "/a/b"]).tables["/a/b"].count() == 2

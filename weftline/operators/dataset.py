@@ -37,8 +37,8 @@ class Dataset:
         below = lambda d: {k[len(root) :] or "/": v for k, v in d.items() if k == root or k.startswith(root + "/")}
         return Dataset(below(self.tables), below(self.attributes))
 
-    def merge_attributes(self, other: Dataset, skip: str = "cdb_query_temp") -> Dataset:
-        """Attributes of both; this one's win."""
+    def merge_attributes(self, other: Dataset, skip: str = "") -> Dataset:
+        """Attributes of both; this one's win. ``skip``: the name of a temporary attribute that is left out."""
         merged = {g: {k: v for k, v in other.attributes.get(g, {}).items() if k != skip} | self.attributes.get(g, {}) for g in {*self.attributes, *other.attributes}}
         return Dataset(self.tables, merged)
 

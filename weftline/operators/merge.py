@@ -42,8 +42,8 @@ def append_catalog(base: DataFrame, new: DataFrame, on: str = "path") -> DataFra
     return base.join(new.select(on), on, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def attributes_union(base: DataFrame, new: DataFrame, on: list[str], attributes: str = "attributes", skip: str = "cdb_query_temp") -> DataFrame:
-    """Attribute maps of both tables; the base's value wins; one temporary name is left out."""
+def attributes_union(base: DataFrame, new: DataFrame, on: list[str], attributes: str = "attributes", skip: str = "") -> DataFrame:
+    """Attribute maps of both tables; the base's value wins; ``skip`` names a temporary attribute that is left out."""
     n = new.select(*on, F.col(attributes).alias("_new"))
     joined = base.join(n, on, "full")
     none = F.create_map().cast("map<string,string>")

@@ -412,8 +412,8 @@ def add_path_if_absent(spark, sf):
 def attrs_union(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
     base = n.where("k % 2 = 0").withColumn("attributes", F.create_map(F.lit("units"), F.lit("base")))
-    new = n.where("k % 3 = 0").withColumn("attributes", F.create_map(F.lit("units"), F.lit("new"), F.lit("extra"), F.lit("extra"), F.lit("cdb_query_temp"), F.lit("x")))
-    a = merge.attributes_union(base, new, ["k"])
+    new = n.where("k % 3 = 0").withColumn("attributes", F.create_map(F.lit("units"), F.lit("new"), F.lit("extra"), F.lit("extra"), F.lit("temporary"), F.lit("x")))
+    a = merge.attributes_union(base, new, ["k"], skip="temporary")
     return a.select("k", F.try_element_at("attributes", F.lit("units")).alias("units"), F.try_element_at("attributes", F.lit("extra")).alias("extra"))
 
 
