@@ -114,7 +114,7 @@ SQL = {
 FROM subset_points WHERE lat BETWEEN -90 AND 90 AND isfinite(lat) AND isfinite(lon) AND abs(lon) < 1e19)
 SELECT a.point_id AS point_a, b.point_id AS point_b FROM p a JOIN p b ON b.lat BETWEEN a.lat - 0.0045 AND a.lat + 0.0045 AND a.point_id < b.point_id
 WHERE power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) <= power(2 * sin(0.5 / 6371 / 2), 2)""",
-    "p4_found": """WITH s AS (SELECT path_id, recorded_at, split_part(path, '|', 1) AS p, version, lower(trim(file_type)) AS kind,
+    "p4_found": r"""WITH s AS (SELECT path_id, recorded_at, split_part(path, '|', 1) AS p, version, lower(trim(file_type)) AS kind,
   regexp_replace(regexp_replace(lower(trim(data_node)), '/+$', ''), ':80$', '') AS node,
   lower(trim(CASE WHEN contains(path, '|') THEN split_part(path, '|', 3) ELSE checksum END)) AS sum FROM soft_links WHERE path IS NOT NULL),
 n AS (SELECT *, regexp_replace(replace(regexp_extract(regexp_replace(trim(p), '[?#].*$', ''), '[^/]*$'), '%5F', '_'), '\.nc.*$', '', 'i') AS file_name,
