@@ -26,3 +26,13 @@ def test_no_product_joins(spark, data):
 
 def test_patterns_are_matched_once(spark, data):
     assert plan(spark, data, "p4_found").count("rlike") <= 4
+
+
+def test_workers_find_the_package(spark, data):
+    import os
+
+    from weftline.session import table
+
+    table(spark, data, "region")
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    assert root in spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers that share this machine's files find the package, whatever folder the driver was started in.
+
+    A cluster without shared files gets it as usual, by ``--py-files`` or an installed package.
+    """
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    held = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in held:
+        env["PYTHONPATH"] = os.pathsep.join([root, *held])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
