@@ -66,3 +66,30 @@ def test_truth_against_plain_python(spark):
     got = {r["node"]: r["reliability"] for r in weights.collect()}
     assert got.keys() == w.keys() and all(abs(got[k] - w[k]) < 1e-6 for k in w)
     assert survivors.truth(df.limit(0), ["grp"], "field", "value", "node")[0].count() == 0
+
+
+def cascade(links=14):
+    """Claims in which each round turns the winner of one more link, so that votes need more than ``links`` rounds to settle."""
+    claims, own = [], lambda s, n: [(f"own {s} {i}", "f", "v", s) for i in range(n)]
+    for k in range(links):
+        pair = (f"x{k}", f"y{k}")
+        for i in range(5):
+            claims += [(f"link {k} {i}", "f", "a", f"p{k}"), (f"link {k} {i}", "f", "a", f"p{k + 1}"), *((f"link {k} {i}", "f", "b", s) for s in pair)]
+        for i in range(20):
+            claims += [*((f"lost {k} {i}", "f", "a", f"z{j}") for j in range(3)), *((f"lost {k} {i}", "f", "b", s) for s in pair)]
+        claims += own(pair[0], 14) + own(pair[1], 14) + own(f"p{k}", 5 if k else 40)
+    return claims + own(f"p{links}", 2)
+
+
+def test_truth_votes_until_settled(spark):
+    import pytest
+
+    claims = cascade()
+    want, w = reference(claims, rounds=1000)
+    assert want != reference(claims)[0]
+    df = spark.createDataFrame(claims, "grp string, field string, value string, node string")
+    chosen, weights = survivors.truth(df, ["grp"], "field", "value", "node")
+    assert {(r["grp"], r["field"], r["value"]) for r in chosen.collect()} == want
+    assert all(abs(r["reliability"] - w[r["node"]]) < 1e-6 for r in weights.collect())
+    with pytest.raises(RuntimeError, match="no settled weights after 3 rounds"):
+        survivors.truth(df, ["grp"], "field", "value", "node", rounds=3)

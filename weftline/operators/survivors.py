@@ -29,14 +29,14 @@ def survivors(records: DataFrame, group: list[str], record: str, precedence: lis
     return best.select(*group, F.col("_best._record").alias(record), *(F.when(shares(i, scope), F.col(f"_f{i}._value")).alias(name) for i, (name, (_, scope)) in enumerate(fields.items())))
 
 
-def truth(claims: DataFrame, group: list[str], field: str, value: str, source: str, rounds: int = 10, tolerance: float = 1e-3, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def truth(claims: DataFrame, group: list[str], field: str, value: str, source: str, rounds: int = 200, tolerance: float = 1e-3, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Iterative truth discovery: (``group, field, value, support, claims``, ``source, reliability``).
 
     A claim is a source's value of a field of a group. In turn, the support of each value is the sum of its sources' reliability,
     the value of most support is taken for true, and a source's reliability is the share of its claims that are true, smoothed by
-    ``prior`` claims of reliability 0.5; until no reliability moves by more than ``tolerance``, for at most ``rounds`` rounds.
-    ``support`` is the chosen value's share of the field's votes. Equal support: more claims, then the smaller value. Claims with a
-    null in any of the columns say nothing; a source that repeats a claim says it once.
+    ``prior`` claims of reliability 0.5; until no reliability moves by more than ``tolerance``. Raises if ``rounds`` rounds, far more
+    than such votes take, don't get there. ``support`` is the chosen value's share of the field's votes. Equal support: more claims,
+    then the smaller value. Claims with a null in any of the columns say nothing; a source that repeats a claim says it once.
 
     Copies are aggregated before the first round. Uncontested fields, whose one value wins under any weights, take no part in the
     rounds; their claims count once, beforehand. Each round writes only the sources' weights to the checkpoint folder.
@@ -67,6 +67,8 @@ def truth(claims: DataFrame, group: list[str], field: str, value: str, source: s
         weights = moved.drop("_was")
         if change is None or change <= tolerance:
             break
+    else:
+        raise RuntimeError(f"no settled weights after {rounds} rounds: the last moved a reliability by {change:.4g}, more than {tolerance:g}")
     sure = marked.where("not _contested").groupBy(*item, "_v").agg(F.count("*").alias("_claims"))
     chosen = winners(weights).select(*item, "_v", (F.col("_votes") / F.col("_sum")).alias("support"), "_claims")
     chosen = chosen.unionByName(sure.select(*item, "_v", F.lit(1.0).alias("support"), "_claims"))
