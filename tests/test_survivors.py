@@ -93,3 +93,17 @@ def test_truth_votes_until_settled(spark):
     assert all(abs(r["reliability"] - w[r["node"]]) < 1e-6 for r in weights.collect())
     with pytest.raises(RuntimeError, match="no settled weights after 3 rounds"):
         survivors.truth(df, ["grp"], "field", "value", "node", rounds=3)
+
+
+def test_p4_truth_hears_rows_without_a_node(spark, tmp_path):
+    from weftline.plans import dealt
+
+    at, sums = dt.datetime(2015, 6, 1), {"a": "ab" * 16, "b": "cd" * 16}
+    rows = [("lone", "v1", "a", None), ("blank", "v1", "a", " "), ("both", "v1", "a", None), ("both", "v1", "b", "http://n1"), ("named", "v1", "a", "http://n1")]
+    rows = [(i, f"/x/{f}.nc", v, "HTTPServer", n, "md5", sums[s], None, at) for i, (f, v, s, n) in enumerate(rows)]
+    spark.createDataFrame(rows, "path_id long, path string, version string, file_type string, data_node string, checksum_type string, checksum string, tracking_id string, recorded_at timestamp_ntz").write.parquet(f"{tmp_path}/soft_links.parquet")
+    spark.createDataFrame([("HTTPServer", 1)], "file_type string, pref_rank int").write.parquet(f"{tmp_path}/type_ranks.parquet")
+    spark.createDataFrame([("http://n1", 1)], "data_node string, pref_rank int").write.parquet(f"{tmp_path}/node_ranks.parquet")
+    got = {(r["file_name"], r["value"], r["claims"]): r["support"] for r in dealt.p4_truth(spark, str(tmp_path)).collect()}
+    assert got.keys() == {("lone", sums["a"], 1), ("blank", sums["a"], 1), ("both", sums["a"], 1), ("named", sums["a"], 1)}
+    assert 0.5 < got["both", sums["a"], 1] < 1

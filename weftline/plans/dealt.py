@@ -97,8 +97,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("file_name", "path_id", F.coalesce("checksum", F.lit("")).alias("checksum"))
 
 
+#: The source of claims whose data node is null or blank. It has a space, so no node is called that.
+UNKNOWN_NODE = "unknown node"
+
+
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _ranked_links(spark, sf)
+    rows = _ranked_links(spark, sf).withColumn("node", F.coalesce("node", F.lit(UNKNOWN_NODE)))
     both = F.array(F.struct(F.lit("checksum").alias("field"), F.col("sum").alias("value")), F.struct(F.lit("version").alias("field"), F.date_from_unix_date(-F.col("age")).cast("string").alias("value")))
     return rows.select("file_name", "node", F.explode(both).alias("c")).select("file_name", "node", "c.*")
 
