@@ -112,6 +112,17 @@ def rank_replicas(spark, sf):
     return catalog.rank(_known(spark, sf), ["name"], order).select("path_id", "name", F.col("pref_rank").cast("long").alias("pref_rank"))
 
 
+@query()
+def rank_replicas_all(spark, sf):
+    """rank_replicas over every path record: types and nodes in one spelling, what is missing or not listed last."""
+    raw = catalog.unpack(table(spark, sf, "soft_links").where("path is not null"))
+    columns = {"version": catalog.version_number(F.trim("version")), "file_type": paths.type_key(F.col("file_type")), "data_node": paths.node_key(F.col("data_node"))}
+    one = raw.withColumns(columns).groupBy("path_id", "path").agg(*(F.min(c).alias(c) for c in columns)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    kind = catalog.list_position(F.col("file_type"), [t.lower() for t in _TYPES], strict=False)
+    order = [F.col("version").desc_nulls_last(), kind.asc_nulls_last(), F.col("data_node").asc_nulls_last(), F.col("path"), F.col("path_id")]
+    return catalog.rank(one, ["name"], order).select("path_id", "name", F.col("pref_rank").cast("long").alias("pref_rank"))
+
+
 @query(f"WITH {_CATALOG} SELECT path_id, name, v AS version FROM k WHERE v = (SELECT max(v) FROM k q WHERE q.name = k.name)")
 def latest_version(spark, sf):
     return catalog.latest(_catalog(spark, sf), ["name"]).select("path_id", "name", "version")
