@@ -27,3 +27,25 @@ def test_rank_replicas_all(spark, tmp_path):
 def test_rank_replicas_all_ranks_every_path(spark, data):
     paths = spark.read.parquet(f"{data}/soft_links.parquet").where("path is not null").selectExpr("path_id", "split_part(path, '|', 1) as p").distinct().count()
     assert reference.rank_replicas_all(spark, data).count() == paths > reference.rank_replicas(spark, data).count()
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_chunks_and_slices_of_all_rows(spark, data):
+    parts = spark.read.parquet(f"{data}/part.parquet").select("p_partkey", "p_size").collect()
+    want = [(k, a, min(a + 1000 // n, 100)) for k, n in parts for a in range(0, 100, max(1, 1000 // n))]
+    assert rows_of(reference.request_chunks_all(spark, data).select("p_partkey", "start", "stop")) == sorted(want)
+    orders = spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    got = rows_of(reference.slice_of_slice_all(spark, data).select("o_orderkey", "start", "stop", "step"))
+    places = lambda c: range(100, 200, 2)[c % 5 * (1 + c % 3) : 30 : 1 + c % 3]
+    assert [(k, list(range(a, b, step))) for k, a, b, step in got] == sorted((k, list(places(c))) for k, c in orders)
+
+
+def test_matches_of_all_rows(spark, data):
+    rows = spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey", "s_acctbal").collect()
+    exact = sorted((k, min(i for i, a in rows if a == b)) for k, b in rows)
+    assert rows_of(reference.match_exact_all(spark, data).select("pos", "idx")) == exact
+    fuzzy = sorted((k, min(i for i, a in rows if abs(a - b - 1e-6) <= 1e-5 + 1e-5 * abs(b + 1e-6))) for k, b in rows)
+    assert rows_of(reference.match_fuzzy_all(spark, data).select("pos", "idx")) == fuzzy

@@ -306,6 +306,24 @@ def match_fuzzy(spark, sf):
     return align.match(source, wanted)
 
 
+def _match_all(spark, sf, shift: float) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    source, wanted = s.select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("value")), s.select(F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") + shift).alias("value"))
+    return align.match(source, wanted)
+
+
+@query()
+def match_exact_all(spark, sf):
+    """match_exact, looking up every supplier."""
+    return _match_all(spark, sf, 0.0)
+
+
+@query()
+def match_fuzzy_all(spark, sf):
+    """match_fuzzy, looking up every supplier."""
+    return _match_all(spark, sf, 1e-6)
+
+
 _INDICES = "i AS (SELECT DISTINCT o_custkey AS i FROM orders WHERE o_custkey % 5 <> 0)"
 
 
@@ -350,7 +368,16 @@ def hyperslab(spark, sf):
 
 @query("""SELECT o_orderkey, 100 + o_custkey % 7 * 2 + (o_custkey % 5) * 2 * (1 + o_custkey % 3) AS start, least(200, 100 + 2 * 30) AS stop, 2 * (1 + o_custkey % 3) AS step FROM orders WHERE o_custkey % 7 * 0 = 0 AND o_custkey % 7 = 0""")
 def slice_of_slice(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 7 = 0")
+    return _slice_of_slice(table(spark, sf, "orders").where("o_custkey % 7 = 0"))
+
+
+@query()
+def slice_of_slice_all(spark, sf):
+    """slice_of_slice over every order."""
+    return _slice_of_slice(table(spark, sf, "orders"))
+
+
+def _slice_of_slice(o: DataFrame) -> DataFrame:
     first = F.struct(F.lit(100).cast("long").alias("start"), F.lit(200).cast("long").alias("stop"), F.lit(2).cast("long").alias("step"))
     k = 1 + F.col("o_custkey") % 3
     second = F.struct((F.col("o_custkey") % 5 * k).alias("start"), F.lit(30).cast("long").alias("stop"), k.alias("step"))
@@ -359,7 +386,16 @@ def slice_of_slice(spark, sf):
 
 @query("""SELECT p_partkey, a AS start, least(a + 1000 // p_size, 100) AS stop FROM part, range(0, 100) g(a) WHERE a % greatest(1, 1000 // p_size) = 0 AND p_partkey % 10 = 0""")
 def request_chunks(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 10 = 0")
+    return _request_chunks(table(spark, sf, "part").where("p_partkey % 10 = 0"))
+
+
+@query()
+def request_chunks_all(spark, sf):
+    """request_chunks over every part."""
+    return _request_chunks(table(spark, sf, "part"))
+
+
+def _request_chunks(p: DataFrame) -> DataFrame:
     cuts = align.request_chunks(F.lit(100), F.col("p_size"), 1000)
     return p.select("p_partkey", F.explode(cuts).alias("c")).select("p_partkey", "c.start", F.col("c.stop").cast("long").alias("stop"))
 
