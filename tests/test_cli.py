@@ -26,3 +26,19 @@ def test_validate_load_subset(spark, tmp_path):
     spark.createDataFrame([(i, j, float(i), float(j)) for i in range(4) for j in range(4)], "i int, j int, lat double, lon double").write.parquet(f"{folder}/grid")
     cli.main(["subset", f"{folder}/grid", f"{folder}/cut", "--lonlatbox", "1", "2", "0", "1"])
     assert spark.read.parquet(f"{folder}/cut").count() == 4
+
+
+def test_downloads_skip_what_a_better_replica_has(spark, tmp_path):
+    folder, at = str(tmp_path), dt.datetime(2000, 1, 1)
+    rows = [(1, "HTTPServer", "n", "a"), (2, "OPENDAP", "n", "a"), (3, "HTTPServer", "n", "b"), (4, "OPENDAP", "x", "b"), (5, "HTTPServer", "n", ""), (6, "OPENDAP", "n", ""), (7, "OPENDAP", "n", "c"), (8, "local_file", "n", "c")]
+    spark.createDataFrame([(f"p{i}", i, 1, *r) for i, *r in rows], "path string, path_id long, version long, file_type string, data_node string, checksum string").write.parquet(f"{folder}/s/catalog")
+    spark.createDataFrame([("tas", at, i, 0) for i, *_ in rows], "var string, at timestamp_ntz, path_id long, idx long").write.parquet(f"{folder}/s/links")
+    spark.createDataFrame([(i, 0, float(i)) for i, *_ in rows], "path_id long, idx long, value double").write.parquet(f"{folder}/values")
+
+    def got(command, *options):
+        out = f"{folder}/{command}{len(options)}"
+        cli.main([command, f"{folder}/s", f"{folder}/values", out, "--Xdata_node", "x", *options])
+        return sorted(r["value"] for r in spark.read.parquet(out).collect())
+
+    assert got("download_files") == [3.0, 5.0] and got("download_files", "--download_all") == [1.0, 3.0, 5.0]
+    assert got("download_opendap") == [2.0, 6.0]

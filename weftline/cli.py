@@ -11,6 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import paths
 from weftline.operators import catalog as cat
 from weftline.operators import geo, links, select
 
@@ -81,7 +82,11 @@ def run(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
         return links.reject_unlinked(links.build_links(candidates, ranked, ["var"], "at", "path_id", ["_age", "_type", "_node", "path_id"]), ["path_id", "idx"])
     if o.command in RETRIEVALS:
         made = links.SoftLinks.load(spark, o.links)
-        rows = made.with_paths().withColumn("better_type", F.lit(None).cast("string")).where(select.included(F.col("data_node"), o.data_node, o.Xdata_node))
+        own = made.catalog if "checksum" in made.catalog.columns else made.catalog.withColumn("checksum", F.lit(None).cast("string"))
+        own = own.withColumn("checksum", paths.unpacked(F.col("path"), 2, F.col("checksum")))
+        own = own if "available" in own.columns else own.withColumn("available", F.lit(True))
+        better = cat.better_type(own, select.included(F.col("data_node"), o.data_node, o.Xdata_node), "path_id")
+        rows = made.with_paths().join(better, "path_id", "left").where(select.included(F.col("data_node"), o.data_node, o.Xdata_node))
         rows = select.retrieval_gate(rows, o.command, o.download_all)
         return links.retrieve(rows.select("var", "at", "path_id", "idx"), kept_times(rows, o), read(o.values), ["var"], "at", ["path_id", "idx"])
     grid = read(o.grid)

@@ -88,6 +88,15 @@ def fail_over(catalog: DataFrame, acceptable: list[str], allowed: Column, key: s
     return joined.select(key, F.when(F.col("_fit"), F.col(key)).otherwise(F.col("_best._served")).alias("served_by"))
 
 
+def better_type(catalog: DataFrame, allowed: Column, key: str, checksum: str = "checksum") -> DataFrame:
+    """``key, better_type``: the best type, local before embedded before OPeNDAP, of the row's replicas of the same checksum on allowed
+    nodes that are available; null if there is none. The row itself counts. ``catalog`` has ``available``; one aggregate by checksum."""
+    fit = F.col("file_type").isin("local_file", "soft_links_container", "OPENDAP") & allowed & F.coalesce(F.col("available"), F.lit(False)) & usable_checksum(F.col(checksum), True)
+    place = list_position(F.col("file_type"), ["local_file", "soft_links_container", "OPENDAP"], strict=False)
+    best = catalog.where(fit).groupBy(checksum).agg(F.min_by("file_type", place).alias("better_type"))
+    return catalog.select(key, checksum).join(best, checksum, "left").select(key, "better_type")
+
+
 def unify_units(units: DataFrame, keys: list[str], column: str = "units") -> DataFrame:
     """``keys, units``: the one unit of a group; of several, that with the lexically smallest text after ``since``; null if none."""
     text = F.trim(F.regexp_extract(column, r"since(.*)$", 1))
