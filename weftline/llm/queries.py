@@ -91,15 +91,15 @@ def _truth_sql(rounds: int) -> str:
     """A chain of rounds, more than the votes take to settle at the size of the comparison: rounds beyond change nothing."""
     parts = [
         f"WITH {_LINKS}",
-        "v AS (SELECT file_name, coalesce(nullif(node, ''), 'unknown node') AS s, unnest([struct_pack(f := 'checksum', v := CASE WHEN fit THEN sum END), struct_pack(f := 'version', v := strftime(day, '%Y-%m-%d')), struct_pack(f := 'file_type', v := nullif(kind, ''))]) AS c FROM r)",
-        "c AS MATERIALIZED (SELECT DISTINCT file_name, s, c.f AS f, c.v AS v FROM v WHERE c.v IS NOT NULL AND file_name IS NOT NULL)",
-        "k AS MATERIALIZED (SELECT file_name, f, count(DISTINCT v) > 1 AS contested FROM c GROUP BY 1, 2)",
-        "n AS MATERIALIZED (SELECT s, count(*) AS n, count_if(NOT contested) AS sure FROM c JOIN k USING (file_name, f) GROUP BY 1)",
-        "w0 AS MATERIALIZED (SELECT s, (sure + (n - sure) * 0.5 + 0.5) / (n + 1.0) AS w FROM n)",
+        "said AS (SELECT file_name, coalesce(nullif(node, ''), 'unknown node') AS s, unnest([struct_pack(f := 'checksum', v := CASE WHEN fit THEN sum END), struct_pack(f := 'version', v := strftime(day, '%Y-%m-%d')), struct_pack(f := 'file_type', v := nullif(kind, ''))]) AS c FROM r)",
+        "claim AS MATERIALIZED (SELECT DISTINCT file_name, s, c.f AS f, c.v AS v FROM said WHERE c.v IS NOT NULL AND file_name IS NOT NULL)",
+        "item AS MATERIALIZED (SELECT file_name, f, count(DISTINCT v) > 1 AS contested FROM claim GROUP BY 1, 2)",
+        "total AS MATERIALIZED (SELECT s, count(*) AS n, count_if(NOT contested) AS sure FROM claim JOIN item USING (file_name, f) GROUP BY 1)",
+        "w0 AS MATERIALIZED (SELECT s, (sure + (n - sure) * 0.5 + 0.5) / (n + 1.0) AS w FROM total)",
     ]
     for i in range(rounds):
-        parts.append(f"t{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file_name, f ORDER BY round(votes, 9) DESC, claims DESC, v) AS place, sum(votes) OVER (PARTITION BY file_name, f) AS every FROM (SELECT file_name, f, v, sum(w) AS votes, count(*) AS claims FROM c JOIN w{i} USING (s) GROUP BY 1, 2, 3) x)")
-        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT n.s, (count(t.v) + 0.5) / (any_value(n.n) + 1.0) AS w FROM n JOIN c USING (s) LEFT JOIN t{i} t ON t.place = 1 AND t.file_name = c.file_name AND t.f = c.f AND t.v = c.v GROUP BY 1)")
+        parts.append(f"t{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file_name, f ORDER BY round(votes, 9) DESC, claims DESC, v) AS place, sum(votes) OVER (PARTITION BY file_name, f) AS every FROM (SELECT file_name, f, v, sum(w) AS votes, count(*) AS claims FROM claim JOIN w{i} USING (s) GROUP BY 1, 2, 3) x)")
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT n.s, (count(t.v) + 0.5) / (any_value(n.n) + 1.0) AS w FROM total n JOIN claim c USING (s) LEFT JOIN t{i} t ON t.place = 1 AND t.file_name = c.file_name AND t.f = c.f AND t.v = c.v GROUP BY 1)")
     return ",\n".join(parts) + f"\nSELECT file_name, f AS field, v AS value, round(votes / every, 6) AS support, claims FROM t{rounds - 1} WHERE place = 1"
 
 
