@@ -239,8 +239,10 @@ def date_print(cf: Column) -> Column:
 
 
 def truncate(value: Column, digits: int) -> Column:
-    """A decimal cut after ``digits`` places, towards zero."""
-    return F.signum(value) * F.floor(F.abs(value) * 10**digits) / 10**digits
+    """A decimal cut after ``digits`` places, towards zero: of its decimal text, so that 0.29 stays 0.29. Null, NaN and infinities stay."""
+    text = value.cast("double").cast("decimal(38,15)").cast("string")
+    cut = F.regexp_extract(text, rf"^-?[0-9]+(?:\.[0-9]{{0,{digits}}})?", 0).cast("double")
+    return F.when(F.abs(value) < 1e22, cut).otherwise(value)
 
 
 def pad_timestamp(text: Column) -> Column:

@@ -55,41 +55,57 @@ def match(source: DataFrame, requested: DataFrame, value: str = "value", idx: st
 
 
 def to_slices(indices: DataFrame, idx: str = "idx", step: int = 1, bucket: int = 1_000_000, keys: list[str] | None = None) -> DataFrame:
-    """``start, stop, step``: runs of indices at distance ``step`` as slices, stop exclusive.
+    """``start, stop, step``: the sorted distinct indices as slices, stop exclusive: neighbours in the order that lie ``step`` apart are
+    in one slice, so an index whose neighbours lie nearer or farther is a slice of its own. Null indices are left out.
 
     Runs are found within buckets of the index range, then joined across their edges, so that no window holds all indices.
     """
     keys = keys or []
-    i = indices.select(*keys, F.col(idx).cast("long").alias("_i")).where(F.col("_i").isNotNull()).distinct()
-    # indices of one remainder form runs of their own
-    i = i.withColumns({"_rest": F.pmod("_i", F.lit(step)), "_n": F.floor(F.col("_i") / step)}).withColumn("_bucket", F.floor(F.col("_n") / bucket))
-    by = [*keys, "_rest", "_bucket"]
-    island = F.col("_n") - F.row_number().over(Window.partitionBy(*by).orderBy("_n"))
-    local = i.withColumn("_island", island).groupBy(*by, "_island").agg(F.min("_n").alias("_low"), F.max("_n").alias("_high"))
-    whole = F.col("_low").eqNullSafe(F.col("_bucket") * bucket) | F.col("_high").eqNullSafe(F.col("_bucket") * bucket + bucket - 1)
-    edge, inner = local.where(whole), local.where(~whole)
-    order = Window.partitionBy(*keys, "_rest").orderBy("_low")
-    begins = F.coalesce((F.col("_low") > F.lag("_high").over(order) + 1).cast("int"), F.lit(1))
-    stitched = edge.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order)).groupBy(*keys, "_rest", "_run").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    both = inner.select(*keys, "_rest", "_low", "_high").unionByName(stitched.select(*keys, "_rest", "_low", "_high"))
-    start, stop = F.col("_low") * step + F.col("_rest"), F.col("_high") * step + F.col("_rest") + 1
-    return both.select(*keys, start.alias("start"), stop.alias("stop"), F.lit(step).cast("long").alias("step"))
-
-
-def optimal_step(indices: DataFrame, idx: str = "idx", candidates: int = 1000, bucket: int = 1_000_000) -> DataFrame:
-    """``step, slices``: of the distinct distances between neighbouring indices the one that gives the fewest slices, the smallest of equals.
-
-    The number of slices of a step is the number of indices without another one a step before: one join for all steps. More than
-    ``candidates`` distinct distances raise on read.
+    i = indices.select(*keys, F.col(idx).cast("long").alias("_i")).where(F.col("_i").isNotNull()).distinct().withColumn("_bucket", F.floor(F.col("_i") / bucket))
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_i")
+    begins = F.coalesce((F.col("_i") - F.lag("_i").over(order) != step).cast("int"), F.lit(1))
+    runs = i.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
+    local = runs.groupBy(*keys, "_bucket", "_run").agg(F.min("_i").alias("_low"), F.max("_i").alias("_high"))
+    # the first and the last run of each bucket may go on in another bucket
+    ends = local.groupBy(*keys, "_bucket").agg(F.max("_run").alias("_last"))
+    marked = local.join(ends, [*keys, "_bucket"])
+    is_end = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
+    across = Window.partitionBy(*keys).orderBy("_low")
+    # two runs of one bucket are never one run; of neighbouring buckets they are if they lie a step apart
+    goes_on = (F.col("_low") - F.lag("_high").over(across) == step) & (F.col("_bucket") != F.lag("_bucket").over(across))
+    edge = marked.where(is_end).withColumn("_begins", F.coalesce((~goes_on).cast("int"), F.lit(1))).withColumn("_whole", F.sum("_begins").over(across))
+    stitched = edge.groupBy(*keys, "_whole").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    both = marked.where(~is_end).select(*keys, "_low", "_high").unionByName(stitched.select(*keys, "_low", "_high"))
+    return both.select(*keys, F.col("_low").alias("start"), (F.col("_high") + 1).alias("stop"), F.lit(step).cast("long").alias("step"))
+
+
+def optimal_step(indices: DataFrame, idx: str = "idx", bucket: int = 1_000_000) -> DataFrame:
+    """``step, slices``: of the distances between neighbours of the sorted distinct indices the one that gives the fewest slices (see
+    :func:`to_slices`), the smallest of equals; step 1 for a single index, no row without any.
+
+    A step joins as many neighbours as lie that far apart, so counting the distances counts the slices of every step: one aggregate.
     """
-    i = indices.select(F.col(idx).cast("long").alias("_i")).where(F.col("_i").isNotNull()).distinct()
-    placed = positions(i, ["_i"], F.floor(F.col("_i") / bucket), name="_p")
-    following = placed.select((F.col("_p") - 1).alias("_p"), F.col("_i").alias("_next"))
-    steps = placed.join(following, "_p").groupBy(F.greatest(F.lit(1), F.col("_next") - F.col("_i")).alias("step")).count().select("step")
-    counted = steps.agg(F.collect_set("step").alias("s")).select(F.explode(F.when(F.size("s") <= candidates, F.col("s")).otherwise(F.raise_error(F.lit("too many distances")).cast("array<bigint>"))).alias("step"))
-    shifted = i.join(F.broadcast(counted)).withColumn("_before", F.col("_i") - F.col("step"))
-    starts = shifted.join(i.select(F.col("_i").alias("_before"), F.lit(True).alias("_there")), "_before", "left").groupBy("step").agg(F.count_if(F.col("_there").isNull()).alias("slices"))
-    return starts.agg(F.min(F.struct("slices", "step")).alias("b")).select("b.step", "b.slices")
+    i = indices.select(F.col(idx).cast("long").alias("_i")).where(F.col("_i").isNotNull()).distinct().withColumn("_bucket", F.floor(F.col("_i") / bucket))
+    within = i.withColumn("_d", F.col("_i") - F.lag("_i").over(Window.partitionBy("_bucket").orderBy("_i"))).where("_d is not null").groupBy("_d").agg(F.count("*").alias("_n"))
+    # a row per bucket: from the last index of one to the first of the next
+    ends = i.groupBy("_bucket").agg(F.min("_i").alias("_low"), F.max("_i").alias("_high"), F.count("*").alias("_n"))
+    across = ends.select((F.col("_low") - F.lag("_high").over(Window.orderBy("_bucket"))).alias("_d"), F.lit(1).cast("long").alias("_n")).where("_d is not null")
+    total = ends.agg(F.sum("_n").alias("_total"))
+    counts = within.unionByName(across).groupBy("_d").agg(F.sum("_n").alias("_n"))
+    best = counts.agg(F.min(F.struct((-F.col("_n")).alias("less"), F.col("_d").alias("step"))).alias("b"))
+    return best.join(F.broadcast(total)).where("_total > 0").select(F.coalesce("b.step", F.lit(1)).alias("step"), (F.col("_total") - F.coalesce(-F.col("b.less"), F.lit(0))).alias("slices"))
+
+
+def prepare_indices(indices: DataFrame, idx: str = "idx", pos: str = "pos", bucket: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """What a gather needs: (the sorted indices' slices of the optimal step, ``pos, place``: where in the sorted order each request is).
+
+    ``pos``: the requests' order. Equal indices are requested once; places count distinct indices.
+    """
+    best = optimal_step(indices, idx, bucket).first()
+    slices = to_slices(indices, idx, best["step"] if best else 1, bucket)
+    distinct = indices.select(F.col(idx).cast("long").alias("_i")).where(F.col("_i").isNotNull()).distinct()
+    placed = positions(distinct, ["_i"], F.floor(F.col("_i") / bucket), name="place")
+    return slices, indices.join(placed, F.col(idx) == F.col("_i")).select(pos, "place")
 
 
 def slice_a_slice(first: Column, second: Column) -> Column:
@@ -103,6 +119,19 @@ def slice_indices(s: Column) -> Column:
     return F.when(s["stop"] > s["start"], F.sequence(s["start"], s["stop"] - 1, s["step"])).otherwise(F.array().cast("array<bigint>"))
 
 
+def index_of_slice(s: Column, at: Column) -> Column:
+    """The index at place ``at`` of what a slice takes, places below 0 counting from its end; null beyond either end."""
+    n = F.greatest(F.lit(0).cast("long"), F.ceil((s["stop"] - s["start"]) / s["step"]))
+    place = F.when(at < 0, n + at).otherwise(at)
+    return F.when((place >= 0) & (place < n), s["start"] + place * s["step"])
+
+
+def slice_of_index(indices: Column, s: Column) -> Column:
+    """What a slice takes of an array of indices; null entries stay, an empty slice gives an empty array."""
+    wanted = slice_indices(F.struct(s["start"].alias("start"), F.least(s["stop"], F.size(indices).cast("long")).alias("stop"), s["step"].alias("step")))
+    return F.transform(wanted, lambda k: F.get(indices, k.cast("int")))
+
+
 def inverse_permutation(df: DataFrame, value: list[str], bucket: Column, name: str = "place") -> DataFrame:
     """Add the place of each row in the sorted order: the permutation that undoes the sort."""
     return positions(df, value, bucket, name=name)
@@ -113,9 +142,31 @@ def take(values: Column, indices: Column) -> Column:
     return F.transform(indices, lambda i: F.try_element_at(values, (i + 1).cast("int")))
 
 
+def gather(values: Column, shape: list[int], indices: list[Column]) -> Column:
+    """Cells of an array of any number of dimensions, kept flat in row order: all combinations of the places asked for in each
+    dimension, in the order asked for, flat. Places beyond a dimension give null; no places in a dimension give an empty array."""
+    if len(shape) != len(indices):
+        raise ValueError("as many index arrays as dimensions")
+    pairs = F.transform(F.array(F.lit(0).cast("long")), lambda a: F.struct(a.alias("at"), F.lit(True).alias("in")))
+    def along(n: int, wanted: Column):
+        return lambda p: F.transform(wanted, lambda k: F.struct((p["at"] * n + k).cast("long").alias("at"), (p["in"] & (k >= 0) & (k < n)).alias("in")))
+
+    for n, wanted in zip(shape, indices):
+        pairs = F.flatten(F.transform(pairs, along(n, wanted)))
+    return F.transform(pairs, lambda p: F.when(p["in"], F.try_element_at(values, (p["at"] + 1).cast("int"))))
+
+
+def gather_long(cells: DataFrame, dims: list[str], wanted: dict[str, DataFrame]) -> DataFrame:
+    """The same over a table of cells, a row each with its place in every dimension ``dims``: ``wanted`` gives, for some of them, ``pos,
+    idx``; each such column becomes the requests' ``pos``. One equi-join for each dimension asked for; the other columns stay."""
+    for d, requests in wanted.items():
+        cells = cells.join(requests.select(F.col("pos").alias("_pos"), F.col("idx").alias(d)), d).withColumn(d, F.col("_pos")).drop("_pos")
+    return cells.select(*dims, *(c for c in cells.columns if c not in dims))
+
+
 def hyperslab(values: Column, width: int, rows: Column, columns: Column) -> Column:
     """Rows x columns of a two-dimensional array of ``width`` columns, kept flat in row order."""
-    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.try_element_at(values, (r * width + c + 1).cast("int")))))
+    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.when((c >= 0) & (c < width), F.try_element_at(values, (r * width + c + 1).cast("int"))))))
 
 
 def to_long(df: DataFrame, keys: list[str], values: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
+from weftline.operators.ranking import positions
 
 
 def unpack(paths_df: DataFrame) -> DataFrame:
@@ -27,8 +28,14 @@ def list_position(value: Column, preferred: list[str], strict: bool = True) -> C
     return F.coalesce(found, F.raise_error(F.concat(F.lit("not in the preference list: "), value)).cast("int")) if strict else found
 
 
-def rank(catalog: DataFrame, keys: list[str], order: list[Column], name: str = "pref_rank") -> DataFrame:
-    """Add the preference rank within ``keys``, 1 for the best: newest version, then file type, then data node, then path."""
+def rank(catalog: DataFrame, keys: list[str], order: list[Column], name: str = "pref_rank", bucket: Column | None = None) -> DataFrame:
+    """Add the preference rank within ``keys``, 1 for the best: newest version, then file type, then data node, then path.
+
+    ``bucket``: a whole number, not null, that doesn't decrease in the order (of versions, their negative): with it, ranks are found in two
+    levels, so that no task holds more of a key than one bucket.
+    """
+    if bucket is not None:
+        return positions(catalog, order, bucket, keys, name).withColumn(name, (F.col(name) + 1).cast("int"))
     return catalog.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
@@ -61,8 +68,8 @@ def useful(file_times: DataFrame, keys: list[str], file: str, rank_column: str)
 
 
 def usable_checksum(checksum: Column, strict: bool) -> Column:
-    """Checksums that may identify a replica: not null, and, if strict, not blank."""
-    return checksum.isNotNull() & ((F.trim(checksum) != "") if strict else F.lit(True))
+    """Checksums that may identify a replica: any but null or, if strict, only real ones, no blanks, cut ones or placeholders."""
+    return paths.usable_checksum(checksum).isNotNull() if strict else checksum.isNotNull()
 
 
 def equivalents(catalog: DataFrame, used: DataFrame, path: str = "path", checksum: str = "checksum", strict: bool = True) -> DataFrame:
@@ -79,13 +86,15 @@ def fail_over(catalog: DataFrame, acceptable: list[str], allowed: Column, key: s
     with the same checksum, by ``order``, that is; null if there is none. ``catalog`` has ``available``.
 
     One aggregate by checksum gives the best replica of all its copies, so that no pair of copies is formed: the best acceptable
-    replica differs from the row itself wherever the row isn't acceptable.
+    replica differs from the row itself wherever the row isn't acceptable. Rows that serve themselves, and those whose checksum
+    identifies nothing, however many, are not joined.
     """
     fit = F.col("file_type").isin(*acceptable) & allowed & F.coalesce(F.col("available"), F.lit(False))
-    marked = catalog.withColumn("_fit", fit)
+    marked = catalog.withColumn("_fit", F.coalesce(fit, F.lit(False)))
     best = marked.where(F.col("_fit") & usable_checksum(F.col(checksum), strict)).groupBy(checksum).agg(F.min(F.struct(*order, F.col(key).alias("_served"))).alias("_best"))
-    joined = marked.join(best, checksum, "left")
-    return joined.select(key, F.when(F.col("_fit"), F.col(key)).otherwise(F.col("_best._served")).alias("served_by"))
+    needs = ~F.col("_fit") & usable_checksum(F.col(checksum), strict)
+    served = marked.where(needs).join(best, checksum, "left").select(key, F.col("_best._served").alias("served_by"))
+    return marked.where(~needs).select(key, F.when(F.col("_fit"), F.col(key)).alias("served_by")).unionByName(served)
 
 
 def better_type(catalog: DataFrame, allowed: Column, key: str, checksum: str = "checksum") -> DataFrame:
@@ -94,7 +103,9 @@ def better_type(catalog: DataFrame, allowed: Column, key: str, checksum: str = "
     fit = F.col("file_type").isin("local_file", "soft_links_container", "OPENDAP") & allowed & F.coalesce(F.col("available"), F.lit(False)) & usable_checksum(F.col(checksum), True)
     place = list_position(F.col("file_type"), ["local_file", "soft_links_container", "OPENDAP"], strict=False)
     best = catalog.where(fit).groupBy(checksum).agg(F.min_by("file_type", place).alias("better_type"))
-    return catalog.select(key, checksum).join(best, checksum, "left").select(key, "better_type")
+    usable = F.coalesce(usable_checksum(F.col(checksum), True), F.lit(False))
+    found = catalog.where(usable).select(key, checksum).join(best, checksum, "left").select(key, "better_type")
+    return found.unionByName(catalog.where(~usable).select(key, F.lit(None).cast("string").alias("better_type")))
 
 
 def unify_units(units: DataFrame, keys: list[str], column: str = "units") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
-from weftline.operators import drift, intervals, proximity, survivors, timestamps
+from weftline.operators import drift, intervals, proximity, timestamps
 from weftline.session import once, table
 
 #: A century of months.
@@ -79,58 +79,12 @@ def p2_table(spark: SparkSession, sf: str) -> DataFrame:
     return records.select("record_id", "feed", "file_name", "line_no", "written_at", *HEADER, *APPROVED, F.col("_rescued").alias("rescued")).where("_readable")
 
 
-def _ranked_links(spark: SparkSession, sf: str) -> DataFrame:
-    """soft_links with its packed columns unpacked, file name, version day (as a negative number: newest first) and ranks."""
-    links, path = table(spark, sf, "soft_links"), F.col("path")
-    kinds = table(spark, sf, "type_ranks").groupBy(paths.type_key(F.col("file_type")).alias("kind")).agg(F.min("pref_rank").alias("type_rank"))
-    nodes = table(spark, sf, "node_ranks").groupBy(paths.node_key(F.col("data_node")).alias("node")).agg(F.min("pref_rank").alias("node_rank"))
-    day = survivors.version_day(F.col("version"), F.col("recorded_at"))
-    checksum = survivors.usable_checksum(paths.unpacked(path, 2, F.col("checksum")))
-    rows = once(links, file_name=paths.stem(path)).select(
-        "file_name", "path_id", (-F.unix_date(day)).alias("age"), checksum.alias("sum"), paths.type_key(F.col("file_type")).alias("kind"), paths.node_key(F.col("data_node")).alias("node")
-    )
-    return rows.join(kinds, "kind", "left").join(nodes, "node", "left")
-
-
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    best = survivors.survivors(_ranked_links(spark, sf), ["file_name"], "path_id", ["age", "type_rank", "node_rank"], {"checksum": ("sum", 1)})
-    return best.select("file_name", "path_id", F.coalesce("checksum", F.lit("")).alias("checksum"))
-
-
-#: The source of claims whose data node is null or blank. It has a space, so no node is called that.
-UNKNOWN_NODE = "unknown node"
-
-
-def _claims(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _ranked_links(spark, sf).withColumn("node", F.coalesce("node", F.lit(UNKNOWN_NODE)))
-    both = F.array(F.struct(F.lit("checksum").alias("field"), F.col("sum").alias("value")), F.struct(F.lit("version").alias("field"), F.date_from_unix_date(-F.col("age")).cast("string").alias("value")))
-    return rows.select("file_name", "node", F.explode(both).alias("c")).select("file_name", "node", "c.*")
-
-
-def p4_truth(spark: SparkSession, sf: str) -> DataFrame:
-    chosen, _ = survivors.truth(_claims(spark, sf), ["file_name"], "field", "value", "node")
-    return chosen.select("file_name", "field", "value", F.round("support", 6).alias("support"), "claims")
-
-
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 SQL = {
     "p3_found": """WITH p AS (SELECT point_id, lat, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z
 FROM subset_points WHERE lat BETWEEN -90 AND 90 AND isfinite(lat) AND isfinite(lon) AND abs(lon) < 1e19)
 SELECT a.point_id AS point_a, b.point_id AS point_b FROM p a JOIN p b ON b.lat BETWEEN a.lat - 0.0045 AND a.lat + 0.0045 AND a.point_id < b.point_id
 WHERE power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) <= power(2 * sin(0.5 / 6371 / 2), 2)""",
-    "p4_found": r"""WITH s AS (SELECT path_id, recorded_at, split_part(path, '|', 1) AS p, version, lower(trim(file_type)) AS kind,
-  regexp_replace(regexp_replace(lower(trim(data_node)), '/+$', ''), ':80$', '') AS node,
-  lower(trim(CASE WHEN contains(path, '|') THEN split_part(path, '|', 3) ELSE checksum END)) AS sum FROM soft_links WHERE path IS NOT NULL),
-n AS (SELECT *, regexp_replace(replace(regexp_extract(regexp_replace(trim(p), '[?#].*$', ''), '[^/]*$'), '%5F', '_'), '\.nc.*$', '', 'i') AS file_name,
-  TRY_CAST(TRY_STRPTIME(regexp_replace(regexp_extract(trim(version), '^[vV]?[0-9]{4}-?[0-9]{2}-?[0-9]{2}$'), '[^0-9]', '', 'g'), '%Y%m%d') AS DATE) AS d FROM s),
-r AS (SELECT n.*, CASE WHEN d <= CAST(recorded_at AS DATE) THEN d END AS day, t.pref_rank AS tr, k.pref_rank AS nr,
-  regexp_matches(sum, '^([0-9a-f]{32}|[0-9a-f]{64})$') AND replace(sum, sum[1], '') <> '' AS fit
-  FROM n LEFT JOIN type_ranks t ON lower(t.file_type) = n.kind LEFT JOIN node_ranks k ON lower(k.data_node) = n.node),
-o AS (SELECT *, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY file_name ORDER BY day DESC NULLS LAST, tr NULLS LAST, nr NULLS LAST, path_id)),
-b AS (SELECT file_name, path_id, day FROM o WHERE place = 1),
-c AS (SELECT o.file_name, arg_min(o.sum, o.place) AS sum FROM o JOIN b ON o.file_name = b.file_name AND o.day IS NOT DISTINCT FROM b.day WHERE o.fit GROUP BY 1)
-SELECT b.file_name, b.path_id, coalesce(c.sum, '') AS checksum FROM b LEFT JOIN c USING (file_name)
-WHERE (SELECT count(DISTINCT path_id) FROM o WHERE o.file_name = b.file_name) > 1""",
 }
 
 QUERIES = {
@@ -139,7 +93,5 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_table": p2_table,
     "p3_found": p3_found,
-    "p4_found": p4_found,
-    "p4_truth": p4_truth,
     "p5_found": p5_found,
 }

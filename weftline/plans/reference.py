@@ -94,6 +94,9 @@ min(CASE WHEN contains(path,'|') THEN split_part(path,'|',3) ELSE checksum END)
 k AS (SELECT *, TRY_CAST(substr(version,2) AS BIGINT) AS v, regexp_extract(path,'[^/]*$') AS name,
 CASE file_type WHEN 'local_file' THEN 1 WHEN 'OPENDAP' THEN 2 WHEN 'HTTPServer' THEN 3 WHEN 'GridFTP' THEN 4 WHEN 'FTPServer' THEN 5 WHEN 'soft_links_container' THEN 6 END AS t FROM c)"""
 
+#: A checksum that identifies a file.
+_REAL = "regexp_matches(lower(trim(checksum)), '^([0-9a-f]{32}|[0-9a-f]{64})$') AND replace(lower(trim(checksum)), lower(trim(checksum))[1], '') <> ''"
+
 
 def _catalog(spark, sf) -> DataFrame:
     raw = catalog.unpack(table(spark, sf, "soft_links").where("path is not null"))
@@ -101,26 +104,19 @@ def _catalog(spark, sf) -> DataFrame:
     return one.withColumns({"version": catalog.version_number(F.col("version")), "name": F.element_at(F.split("path", "/"), -1)})
 
 
-def _known(spark, sf) -> DataFrame:
-    """The catalog's rows of listed types and numbered versions."""
-    return _catalog(spark, sf).where(F.col("file_type").isin(*_TYPES) & F.col("version").isNotNull() & F.col("data_node").isNotNull())
-
-
-@query(f"WITH {_CATALOG} SELECT path_id, name, row_number() OVER (PARTITION BY name ORDER BY v DESC, t, data_node, path, path_id) AS pref_rank FROM k WHERE t IS NOT NULL AND v IS NOT NULL AND data_node IS NOT NULL")
+@query("""WITH c AS (SELECT path_id, split_part(path,'|',1) AS path, min(TRY_CAST(substr(trim(version),2) AS BIGINT)) AS v, min(nullif(lower(trim(file_type)),'')) AS kind,
+min(nullif(regexp_replace(regexp_replace(lower(trim(data_node)),'/+$',''),'^([a-z]+://[^/]*?):(80|443|21|2811)$','\\1'),'')) AS node FROM soft_links WHERE path IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT *, regexp_extract(path,'[^/]*$') AS name, list_position(['local_file','opendap','httpserver','gridftp','ftpserver','soft_links_container'], kind) AS t FROM c)
+SELECT path_id, name, row_number() OVER (PARTITION BY name ORDER BY v DESC NULLS LAST, nullif(t, 0) NULLS LAST, node NULLS LAST, path, path_id) AS pref_rank FROM k""")
 def rank_replicas(spark, sf):
-    order = [F.col("version").desc(), catalog.list_position(F.col("file_type"), _TYPES), F.col("data_node"), F.col("path"), F.col("path_id")]
-    return catalog.rank(_known(spark, sf), ["name"], order).select("path_id", "name", F.col("pref_rank").cast("long").alias("pref_rank"))
-
-
-@query()
-def rank_replicas_all(spark, sf):
-    """rank_replicas over every path record: types and nodes in one spelling, what is missing or not listed last."""
+    """Every path record: types and nodes in one spelling, what is missing or not listed last."""
     raw = catalog.unpack(table(spark, sf, "soft_links").where("path is not null"))
     columns = {"version": catalog.version_number(F.trim("version")), "file_type": paths.type_key(F.col("file_type")), "data_node": paths.node_key(F.col("data_node"))}
     one = raw.withColumns(columns).groupBy("path_id", "path").agg(*(F.min(c).alias(c) for c in columns)).withColumn("name", F.element_at(F.split("path", "/"), -1))
     kind = catalog.list_position(F.col("file_type"), [t.lower() for t in _TYPES], strict=False)
     order = [F.col("version").desc_nulls_last(), kind.asc_nulls_last(), F.col("data_node").asc_nulls_last(), F.col("path"), F.col("path_id")]
-    return catalog.rank(one, ["name"], order).select("path_id", "name", F.col("pref_rank").cast("long").alias("pref_rank"))
+    ranked = catalog.rank(one, ["name"], order, bucket=F.coalesce(-F.col("version"), F.lit(2**62)))
+    return ranked.select("path_id", "name", F.col("pref_rank").cast("long").alias("pref_rank"))
 
 
 @query(f"WITH {_CATALOG} SELECT path_id, name, v AS version FROM k WHERE v = (SELECT max(v) FROM k q WHERE q.name = k.name)")
@@ -150,7 +146,7 @@ def data_nodes(spark, sf):
 
 
 @query(f"""WITH {_CATALOG}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v DESC NULLS LAST, path_id) AS n FROM k), u AS (SELECT DISTINCT path FROM r WHERE n = 1),
-m AS (SELECT DISTINCT name, checksum FROM k WHERE path IN (SELECT path FROM u) AND checksum IS NOT NULL AND trim(checksum) <> '')
+m AS (SELECT DISTINCT name, checksum FROM k WHERE path IN (SELECT path FROM u) AND {_REAL})
 SELECT k.path_id, k.name FROM k WHERE k.path IN (SELECT path FROM u) OR EXISTS (SELECT 1 FROM m WHERE m.name = k.name AND m.checksum = k.checksum)""")
 def reduce_catalog(spark, sf):
     rows = _catalog(spark, sf)
@@ -168,7 +164,7 @@ def _fail_over(spark, sf, strict: bool) -> DataFrame:
     return catalog.fail_over(rows, ["OPENDAP", "local_file"], F.coalesce(F.col("data_node") != "http://esgn01.polaris.example", F.lit(False)), "path_id", ["path_id"], strict=strict)
 
 
-@query(_FAILOVER.format(catalog=_CATALOG, strict="AND trim(checksum) <> ''"))
+@query(_FAILOVER.format(catalog=_CATALOG, strict=f"AND {_REAL}"))
 def failover(spark, sf):
     return _fail_over(spark, sf, True)
 
@@ -268,14 +264,16 @@ def retrieve_window(spark, sf):
     return got.select(_ts("t").alias("at"), "file", "idx", "event_id", "value")
 
 
-@query("""WITH k AS (SELECT path_id, file_type, CASE path_id % 4 WHEN 0 THEN 'local_file' WHEN 1 THEN 'OPENDAP' WHEN 2 THEN 'HTTPServer' END AS better FROM (SELECT DISTINCT path_id, file_type FROM soft_links))
-SELECT path_id, 'download_files' AS kind FROM k WHERE file_type IN ('FTPServer','HTTPServer','GridFTP') AND coalesce(better,'') NOT IN ('OPENDAP','local_file')
-UNION ALL SELECT path_id, 'download_opendap' FROM k WHERE file_type = 'OPENDAP' AND coalesce(better,'') <> 'local_file'
-UNION ALL SELECT path_id, 'load' FROM k WHERE file_type IN ('local_file','soft_links_container')""")
+@query(f"""WITH {_CATALOG}, b AS (SELECT checksum, arg_min(file_type, CASE file_type WHEN 'local_file' THEN 1 WHEN 'soft_links_container' THEN 2 ELSE 3 END) AS better FROM k
+WHERE file_type IN ('local_file','soft_links_container','OPENDAP') AND {_REAL} GROUP BY 1), j AS (SELECT k.path_id, k.file_type, b.better FROM k LEFT JOIN b ON b.checksum = k.checksum)
+SELECT path_id, 'download_files' AS kind FROM j WHERE file_type IN ('FTPServer','HTTPServer','GridFTP') AND coalesce(better,'') NOT IN ('OPENDAP','local_file','soft_links_container')
+UNION ALL SELECT path_id, 'download_opendap' FROM j WHERE file_type = 'OPENDAP' AND coalesce(better,'') NOT IN ('local_file','soft_links_container')
+UNION ALL SELECT path_id, 'load' FROM j WHERE file_type IN ('local_file','soft_links_container')""")
 def retrieval_types(spark, sf):
-    better = F.element_at(F.create_map(*(F.lit(x) for x in (0, "local_file", 1, "OPENDAP", 2, "HTTPServer"))), (F.col("path_id") % 4).cast("int"))
-    rows = table(spark, sf, "soft_links").select("path_id", "file_type").distinct().withColumn("better_type", better)
-    parts = [select.retrieval_gate(rows, k).select("path_id", F.lit(k).alias("kind")) for k in ("download_files", "download_opendap", "load")]
+    """The better type is that of the row's best available replica, by checksum, as in the download commands."""
+    rows = _catalog(spark, sf).withColumns({"row": F.struct("path_id", "path"), "available": F.lit(True)})
+    gated = rows.select("row", "path_id", "file_type").join(catalog.better_type(rows, F.lit(True), "row"), "row")
+    parts = [select.retrieval_gate(gated, k).select("path_id", F.lit(k).alias("kind")) for k in ("download_files", "download_opendap", "load")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -290,38 +288,22 @@ def fixed_replica(spark, sf):
 # ---------------------------------------------------------------- coordinates and slices
 
 
-@query("""WITH s AS (SELECT s_acctbal AS v, min(s_suppkey) AS idx FROM supplier GROUP BY 1), r AS (SELECT s_suppkey AS pos, s_acctbal AS v FROM supplier WHERE s_suppkey % 7 = 0)
-SELECT r.pos, s.idx FROM r JOIN s ON r.v = s.v""")
-def match_exact(spark, sf):
-    s = table(spark, sf, "supplier")
-    source, wanted = s.select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("value")), s.where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("pos"), F.col("s_acctbal").alias("value"))
-    return align.match(source, wanted)
-
-
-@query("""WITH s AS (SELECT s_suppkey AS idx, s_acctbal AS a FROM supplier), r AS (SELECT s_suppkey AS pos, s_acctbal + 1e-6 AS b FROM supplier WHERE s_suppkey % 3 = 0),
-p AS (SELECT * FROM s, r), c AS (SELECT DISTINCT idx FROM p WHERE abs(a-b) <= 1e-5 + 1e-5*abs(a)) SELECT pos, min(idx) AS idx FROM p WHERE abs(a-b) <= 1e-5 + 1e-5*abs(b) AND idx IN (SELECT idx FROM c) GROUP BY pos""")
-def match_fuzzy(spark, sf):
-    s = table(spark, sf, "supplier")
-    source, wanted = s.select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("value")), s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") + 1e-6).alias("value"))
-    return align.match(source, wanted)
-
-
-def _match_all(spark, sf, shift: float) -> DataFrame:
+def _match(spark, sf, shift: float) -> DataFrame:
     s = table(spark, sf, "supplier")
     source, wanted = s.select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("value")), s.select(F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") + shift).alias("value"))
     return align.match(source, wanted)
 
 
-@query()
-def match_exact_all(spark, sf):
-    """match_exact, looking up every supplier."""
-    return _match_all(spark, sf, 0.0)
+@query("""WITH s AS (SELECT s_acctbal AS v, min(s_suppkey) AS idx FROM supplier GROUP BY 1) SELECT r.s_suppkey AS pos, s.idx FROM supplier r JOIN s ON r.s_acctbal = s.v""")
+def match_exact(spark, sf):
+    return _match(spark, sf, 0.0)
 
 
-@query()
-def match_fuzzy_all(spark, sf):
-    """match_fuzzy, looking up every supplier."""
-    return _match_all(spark, sf, 1e-6)
+@query("""WITH s AS (SELECT s_suppkey AS idx, s_acctbal AS a FROM supplier), r AS (SELECT s_suppkey AS pos, s_acctbal + 1e-6 AS b FROM supplier),
+p AS (SELECT * FROM s JOIN r ON a BETWEEN b - 1e-3 - 1e-4*abs(b) AND b + 1e-3 + 1e-4*abs(b)), c AS (SELECT DISTINCT idx FROM p WHERE abs(a-b) <= 1e-5 + 1e-5*abs(a))
+SELECT pos, min(idx) AS idx FROM p WHERE abs(a-b) <= 1e-5 + 1e-5*abs(b) AND idx IN (SELECT idx FROM c) GROUP BY pos""")
+def match_fuzzy(spark, sf):
+    return _match(spark, sf, 1e-6)
 
 
 _INDICES = "i AS (SELECT DISTINCT o_custkey AS i FROM orders WHERE o_custkey % 5 <> 0)"
@@ -336,17 +318,28 @@ def to_slices(spark, sf):
     return align.to_slices(_indices(spark, sf))
 
 
-@query(f"WITH {_INDICES}, g AS (SELECT i, i % 3 AS r, i // 3 - row_number() OVER (PARTITION BY i % 3 ORDER BY i) AS g FROM i) SELECT min(i) AS start, max(i) + 1 AS stop, CAST(3 AS BIGINT) AS step FROM g GROUP BY r, g")
+#: As consecutive indices of one value of index - step * place.
+_RUNS = "p AS (SELECT i, i - {step} * row_number() OVER (ORDER BY i) AS k FROM i), g AS (SELECT i, k, CASE WHEN k = lag(k) OVER (ORDER BY i) THEN 0 ELSE 1 END AS b FROM p)"
+
+
+@query(f"WITH {_INDICES}, {_RUNS.format(step=2)}, r AS (SELECT i, sum(b) OVER (ORDER BY i) AS run FROM g) SELECT min(i) AS start, max(i) + 1 AS stop, CAST(2 AS BIGINT) AS step FROM r GROUP BY run")
 def to_slices_step(spark, sf):
-    return align.to_slices(_indices(spark, sf), step=3)
+    return align.to_slices(_indices(spark, sf), step=2)
 
 
-@query(f"""WITH {_INDICES}, d AS (SELECT DISTINCT greatest(1, i - lag(i) OVER (ORDER BY i)) AS step FROM i), s AS (SELECT step FROM d WHERE step IS NOT NULL),
-c AS (SELECT s.step, count(*) AS slices FROM s, i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.i = i.i - s.step) GROUP BY 1) SELECT step, slices FROM c ORDER BY slices, step LIMIT 1""")
+@query(f"""WITH {_INDICES}, d AS (SELECT DISTINCT greatest(1, i - lag(i) OVER (ORDER BY i)) AS step FROM i), n AS (SELECT i, row_number() OVER (ORDER BY i) AS p FROM i),
+k AS (SELECT step, i, i - step * p AS k FROM n, d WHERE step IS NOT NULL), b AS (SELECT step, CASE WHEN k = lag(k) OVER (PARTITION BY step ORDER BY i) THEN 0 ELSE 1 END AS b FROM k)
+SELECT step, CAST(sum(b) AS BIGINT) AS slices FROM b GROUP BY step ORDER BY slices, step LIMIT 1""")
 def optimal_step(spark, sf):
     return align.optimal_step(_indices(spark, sf))
 
 
+@query(f"WITH {_INDICES}, w AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_custkey % 5 <> 0) SELECT c AS pos, row_number() OVER (ORDER BY c) - 1 AS place FROM w")
+def prepare_indices(spark, sf):
+    wanted = _indices(spark, sf)
+    return align.prepare_indices(wanted.withColumn("pos", F.col("idx")))[1]
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
 def inverse_permutation(spark, sf):
     return align.inverse_permutation(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], F.floor(F.col("o_totalprice") / 1000)).select("o_orderkey", "place")
@@ -366,38 +359,48 @@ def hyperslab(spark, sf):
     return align.to_long(slab, ["vec_id"]).select("vec_id", cell.cast("long").alias("cell"), F.col("value").cast("double").alias("value"))
 
 
-@query("""SELECT o_orderkey, 100 + o_custkey % 7 * 2 + (o_custkey % 5) * 2 * (1 + o_custkey % 3) AS start, least(200, 100 + 2 * 30) AS stop, 2 * (1 + o_custkey % 3) AS step FROM orders WHERE o_custkey % 7 * 0 = 0 AND o_custkey % 7 = 0""")
+@query("""SELECT o_orderkey, 100 + (o_custkey % 5) * 2 * (1 + o_custkey % 3) AS start, CAST(160 AS BIGINT) AS stop, 2 * (1 + o_custkey % 3) AS step FROM orders""")
 def slice_of_slice(spark, sf):
-    return _slice_of_slice(table(spark, sf, "orders").where("o_custkey % 7 = 0"))
-
-
-@query()
-def slice_of_slice_all(spark, sf):
-    """slice_of_slice over every order."""
-    return _slice_of_slice(table(spark, sf, "orders"))
-
-
-def _slice_of_slice(o: DataFrame) -> DataFrame:
     first = F.struct(F.lit(100).cast("long").alias("start"), F.lit(200).cast("long").alias("stop"), F.lit(2).cast("long").alias("step"))
     k = 1 + F.col("o_custkey") % 3
     second = F.struct((F.col("o_custkey") % 5 * k).alias("start"), F.lit(30).cast("long").alias("stop"), k.alias("step"))
-    return o.select("o_orderkey", align.slice_a_slice(first, second).alias("s")).select("o_orderkey", "s.start", "s.stop", "s.step")
+    return table(spark, sf, "orders").select("o_orderkey", align.slice_a_slice(first, second).alias("s")).select("o_orderkey", "s.start", "s.stop", "s.step")
 
 
-@query("""SELECT p_partkey, a AS start, least(a + 1000 // p_size, 100) AS stop FROM part, range(0, 100) g(a) WHERE a % greatest(1, 1000 // p_size) = 0 AND p_partkey % 10 = 0""")
-def request_chunks(spark, sf):
-    return _request_chunks(table(spark, sf, "part").where("p_partkey % 10 = 0"))
+@query("""SELECT o_orderkey, range(100, 200, 1 + o_custkey % 7)[1 + o_custkey % 40] AS at, range(100, 200, 1 + o_custkey % 7)[-1 - o_custkey % 40] AS back,
+CAST(list_sum([10, 20, 30, 40, 50, 60][1 + o_custkey % 3 : : 2]) AS BIGINT) AS of_index FROM orders""")
+def index_and_slice(spark, sf):
+    """The index at a place of a slice, from its start and from its end, and what a slice takes of given indices."""
+    one = lambda a, b, s: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"), s.cast("long").alias("step"))
+    c = F.col("o_custkey")
+    s = one(F.lit(100), F.lit(200), 1 + c % 7)
+    taken = align.slice_of_index(F.array(*(F.lit(x) for x in (10, 20, 30, 40, 50, 60))), one(c % 3, F.lit(6), F.lit(2)))
+    total = F.aggregate(taken, F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, sf, "orders").select("o_orderkey", align.index_of_slice(s, c % 40).alias("at"), align.index_of_slice(s, -1 - c % 40).alias("back"), total.alias("of_index"))
+
+
+@query("""SELECT vec_id, 100 * a + 10 * b + c AS cell, CAST(embedding[a * 16 + b * 4 + c + 1] AS DOUBLE) AS value FROM embeddings, (SELECT unnest([3, 0]) AS a), (SELECT unnest([1, 2]) AS b), (SELECT unnest([0, 3]) AS c)""")
+def gather_cells(spark, sf):
+    """Embeddings as 4 x 4 x 4 cells."""
+    places = (3, 0), (1, 2), (0, 3)
+    got = align.gather(F.col("embedding"), [4, 4, 4], [F.array(*map(F.lit, p)) for p in places])
+    names = F.array(*(F.lit(100 * a + 10 * b + c) for a in places[0] for b in places[1] for c in places[2]))
+    cells = align.to_long(table(spark, sf, "embeddings").select("vec_id", got.alias("value")), ["vec_id"])
+    return cells.select("vec_id", F.element_at(names, F.col("cell") + 1).cast("long").alias("cell"), F.col("value").cast("double").alias("value"))
 
 
-@query()
-def request_chunks_all(spark, sf):
-    """request_chunks over every part."""
-    return _request_chunks(table(spark, sf, "part"))
+@query("""SELECT grid_id, n AS i, j, point_id FROM subset_points JOIN (SELECT unnest([7, 2, 4]) AS i, unnest([0, 1, 2]) AS n) w USING (i)""")
+def gather_rows(spark, sf):
+    """Rows of every grid, by their place in it, in the order asked for."""
+    cells = table(spark, sf, "subset_points").select("grid_id", "i", "j", "point_id")
+    wanted = spark.createDataFrame([(0, 7), (1, 2), (2, 4)], "pos long, idx int")
+    return align.gather_long(cells, ["grid_id", "i", "j"], {"i": wanted})
 
 
-def _request_chunks(p: DataFrame) -> DataFrame:
+@query("""SELECT p_partkey, a AS start, least(a + greatest(1, 1000 // p_size), 100) AS stop FROM (SELECT p_partkey, p_size, unnest(range(0, 100, greatest(1, 1000 // p_size))) AS a FROM part)""")
+def request_chunks(spark, sf):
     cuts = align.request_chunks(F.lit(100), F.col("p_size"), 1000)
-    return p.select("p_partkey", F.explode(cuts).alias("c")).select("p_partkey", "c.start", F.col("c.stop").cast("long").alias("stop"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(cuts).alias("c")).select("p_partkey", "c.start", F.col("c.stop").cast("long").alias("stop"))
 
 
 # ---------------------------------------------------------------- merges
@@ -551,34 +554,35 @@ def dates_from_filename(spark, sf):
     return table(spark, sf, "soft_links").where("path is not null").select(begin.alias("begin")).distinct().where("begin <> ''").select("begin", cftime.pad_timestamp(F.col("begin")).alias("padded"))
 
 
-@query("SELECT event_id, CASE WHEN value < 0 THEN -floor(-value * 1000) / 1000 ELSE floor(value * 1000) / 1000 END AS cut FROM events WHERE value IS NOT NULL")
+@query(r"SELECT event_id, CAST(regexp_extract(CAST(value AS VARCHAR), '^-?[0-9]+(\.[0-9]{0,3})?') AS DOUBLE) AS cut FROM events WHERE value IS NOT NULL")
 def truncate_decimals(spark, sf):
     return table(spark, sf, "events").where("value is not null").select("event_id", cftime.truncate(F.col("value"), 3).alias("cut"))
 
 
-@query("""SELECT n_nationkey AS k, i, CAST(i AS DOUBLE) + 0.5 AS day, CAST(i * 6 AS DOUBLE) AS six FROM nation, range(0, 20) g(i) WHERE i < n_nationkey""")
+@query("""WITH n AS (SELECT path_id, count(*) AS n FROM time_axis WHERE path_id IS NOT NULL GROUP BY 1) SELECT path_id, i, i + 0.5::DOUBLE AS day, i * 6::DOUBLE AS six FROM (SELECT path_id, unnest(range(n)) AS i FROM n)""")
 def rebuild_axis(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
-    made = n.select("k", cftime.axis_numbers(F.least("k", F.lit(20)), "day", F.lit(0.0), False).alias("a"), cftime.axis_numbers(F.least("k", F.lit(20)), "6hr", F.lit(0.0), False).alias("b"))
-    zipped = made.select("k", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z"))
-    return zipped.select("k", F.col("i").cast("long").alias("i"), F.col("z.a").alias("day"), F.col("z.b").alias("six"))
+    """An axis of as many steps as each path has."""
+    n = table(spark, sf, "time_axis").where("path_id is not null").groupBy("path_id").agg(F.count("*").cast("int").alias("n"))
+    made = n.select("path_id", cftime.axis_numbers(F.col("n"), "day", F.lit(0.0), False).alias("a"), cftime.axis_numbers(F.col("n"), "6hr", F.lit(0.0), False).alias("b"))
+    zipped = made.select("path_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z"))
+    return zipped.select("path_id", F.col("i").cast("long").alias("i"), F.col("z.a").alias("day"), F.col("z.b").alias("six"))
 
 
-@query("""SELECT 'f' || m AS file, CASE m % 4 WHEN 0 THEN '000' WHEN 1 THEN '003' WHEN 2 THEN '001' ELSE '005,000,002' END AS control,
-strftime(make_date(1900 + m, 1, 1),'%Y-%m-%d') || ' 00:00:00' AS start, CAST(10 AS BIGINT) AS steps FROM (SELECT DISTINCT n_nationkey AS m FROM nation)""")
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), k AS (SELECT d, date_diff('day', DATE '1900-01-01', d) % 4 AS k FROM d)
+SELECT strftime(d, '%Y%m%d') AS file, CASE k WHEN 0 THEN '000' WHEN 1 THEN '003' WHEN 2 THEN '001' ELSE '005,000,002' END AS control, strftime(d, '%Y-%m-%d') || ' 00:00:00' AS start,
+CAST(10 AS BIGINT) AS steps, CASE WHEN k IN (0, 2) THEN true END AS bnds FROM k""")
 def axis_audit(spark, sf):
-    """Daily axes of ten days, one for each nation, with a fault by its number modulo 4."""
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("m")).distinct()
-    at = cftime.encode(cftime.fields_of_digits(F.format_string("%04d0101", F.col("m") + 1900)), "days since 1850-01-01", "noleap")
-    k = F.col("m") % 4
-    steps = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: at + i + F.when((k == 2) & (i == 4), 0.75).otherwise(0.5))
-    bounds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.array(at + i, at + i + 1))
-    files = n.select(
-        F.concat(F.lit("f"), "m").alias("file"), F.format_string("%04d0101", F.col("m") + 1900).alias("begin"), F.format_string("%04d01%02d", F.col("m") + 1900, F.when(k == 1, 11).otherwise(10)).alias("until"),
+    """Daily axes of ten days, one from each day with an order, with a fault by its number modulo 4."""
+    d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    n, k = F.datediff("d", F.lit("1850-01-01").cast("date")).cast("double"), F.datediff("d", F.lit("1900-01-01").cast("date")) % 4
+    steps = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: n + i + F.when((k == 2) & (i == 4), 0.75).otherwise(0.5))
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.array(n + i, n + i + 1))
+    files = d.select(
+        F.date_format("d", "yyyyMMdd").alias("file"), F.date_format("d", "yyyyMMdd").alias("begin"), F.date_format(F.date_add("d", F.when(k == 1, 10).otherwise(9)), "yyyyMMdd").alias("until"),
         F.when(k == 3, "days since 1900-1-1").otherwise("days since 1850-01-01").alias("units"), steps.alias("time"), F.when(k != 3, bounds).alias("time_bnds"),
     )
-    done = audit.axis_audit(files, "day", "days since 1850-01-01", "noleap", False)
-    return done.select("file", F.array_join("control", ",").alias("control"), "start", "steps")
+    done = audit.axis_audit(files, "day", "days since 1850-01-01", "proleptic_gregorian", False)
+    return done.select("file", F.array_join("control", ",").alias("control"), "start", "steps", "bnds")
 
 
 # ---------------------------------------------------------------- grids
@@ -631,27 +635,27 @@ def vertices_from_bounds(spark, sf):
     return corners.select("k", F.col("corner").cast("long").alias("corner"), "v.lat", "v.lon")
 
 
-@query(f"WITH {_POINTS} SELECT k, round(cos(radians(lat)) * cos(radians(lon)), 6) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 6) + 0.0 AS y, round(sin(radians(lat)), 6) + 0.0 AS z, round(lat, 6) AS lat_back FROM p WHERE abs(lat) < 90")
+@query(f"WITH {_POINTS} SELECT k, round(cos(radians(lat)) * cos(radians(lon)), 6) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 6) + 0.0 AS y, round(sin(radians(lat)), 6) + 0.0 AS z, round(lat, 6) AS lat_back FROM p")
 def spherical(spark, sf):
-    p = _points(spark, sf).where("abs(lat) < 90").withColumn("v", geo.to_cartesian(F.col("lat"), F.col("lon")))
+    p = _points(spark, sf).withColumn("v", geo.to_cartesian(F.col("lat"), F.col("lon")))
     rounded = lambda x: F.round(x, 6) + 0.0
     return p.select("k", rounded(F.col("v.x")).alias("x"), rounded(F.col("v.y")).alias("y"), rounded(F.col("v.z")).alias("z"), F.round(geo.to_spherical(F.col("v"))["lat"], 6).alias("lat_back"))
 
 
-@query("""SELECT n_nationkey AS k, c AS place, CAST(CASE WHEN c IN (1,2) THEN n_nationkey + 1 ELSE n_nationkey END AS DOUBLE) AS lat, CAST(CASE WHEN c IN (0,1) THEN n_nationkey * 5 + 2 ELSE n_nationkey * 5 END AS DOUBLE) AS lon FROM nation, range(0, 4) g(c)""")
+@query("""WITH p AS (SELECT c_custkey AS k, c_custkey % 160 - 80 AS a, c_custkey * 7 % 350 AS o FROM customer) SELECT k, c AS place, CAST(CASE WHEN c IN (1,2) THEN a + 1 ELSE a END AS DOUBLE) AS lat, CAST(CASE WHEN c IN (0,1) THEN o + 2 ELSE o END AS DOUBLE) AS lon FROM p, range(0, 4) g(c)""")
 def ccw_sort(spark, sf):
     """Corners of a cell, crossed over (low low, high high, low high, high low), come out counter-clockwise from the south-east."""
-    k = F.col("n_nationkey")
-    corner = lambda a, b: F.struct((k + a).cast("double").alias("lat"), (k * 5 + b).cast("double").alias("lon"))
+    k = F.col("c_custkey")
+    corner = lambda a, b: F.struct((k % 160 - 80 + a).cast("double").alias("lat"), (k * 7 % 350 + b).cast("double").alias("lon"))
     crossed = F.array(corner(0, 2), corner(1, 0), corner(1, 2), corner(0, 0))
-    out = table(spark, sf, "nation").select(k.alias("k"), F.posexplode(geo.counter_clockwise(crossed)).alias("place", "v"))
+    out = table(spark, sf, "customer").select(k.alias("k"), F.posexplode(geo.counter_clockwise(crossed)).alias("place", "v"))
     return out.select("k", F.col("place").cast("long").alias("place"), "v.lat", "v.lon")
 
 
-@query(f"""WITH {_POINTS}, m AS (SELECT k % 20 AS region, avg(cos(radians(lat))*cos(radians(lon))) AS x, avg(cos(radians(lat))*sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM p WHERE lat > 0 AND {_MOD} BETWEEN 10 AND 170 GROUP BY 1)
+@query(f"""WITH {_POINTS}, m AS (SELECT k % 20 AS region, avg(cos(radians(lat))*cos(radians(lon))) AS x, avg(cos(radians(lat))*sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM p GROUP BY 1)
 SELECT region, round(degrees(asin(z / sqrt(x*x+y*y+z*z))), 6) AS lat FROM m""")
 def centroids(spark, sf):
-    p = _points(spark, sf).where((F.col("lat") > 0) & F.pmod("lon", F.lit(360.0)).between(10, 170)).withColumn("region", F.col("k") % 20)
+    p = _points(spark, sf).withColumn("region", F.col("k") % 20)
     return geo.centroids(p, ["region"]).select("region", F.round("lat", 6).alias("lat"))
 
 
