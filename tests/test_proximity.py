@@ -38,6 +38,24 @@ def test_hot_place_is_split(spark):
     assert {tuple(r) for r in proximity.near_pairs(df, 0.05, block=10).collect()} == brute(points, 0.05)
 
 
+def test_one_cell_holds_most_points(spark):
+    rng = random.Random(7)
+    points = [(i, 1.0 + rng.random() * 0.02, 2.0 + rng.random() * 0.04) for i in range(1500)] + [(2000 + i, 1.0 + rng.gauss(0, 0.05), 2.0 + rng.gauss(0, 0.05)) for i in range(300)]
+    points += [(3000 + i, 89.99 + rng.random() * 0.009, rng.random() * 360) for i in range(200)] + [(4000 + i, -0.02 + rng.random() * 0.04, rng.random() * 0.1 - 0.05) for i in range(200)]
+    df = spark.createDataFrame(points, "point_id long, lat double, lon double")
+    for km, block in ((0.5, 100), (0.5, 3), (2.0, 50)):
+        got = [tuple(r) for r in proximity.near_pairs(df, km, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(points, km)
+
+
+def test_points_are_copied_to_few_cells(spark, data):
+    from weftline.session import table
+
+    points = table(spark, data.replace("sf0.001", "sf0.01"), "subset_points")
+    plan = proximity.near_pairs(points, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(concat" in plan and "Join" not in plan
+
+
 def test_empty(spark):
     assert proximity.near_pairs(spark.createDataFrame([], "point_id long, lat double, lon double"), 1).count() == 0
 
@@ -59,4 +77,23 @@ def test_regions(spark):
 
     want = {(i, k) for i, la, lo in points if la is not None for k, v in polygons.items() if len(v) > 2 and any(inside(v, la, lo % 360 + t) for t in (-360, 0, 360))}
     got = {tuple(r) for r in proximity.locate(spark.createDataFrame(points, "point_id long, lat double, lon double"), regions, height=3.0).collect()}
+    for block in (5, 60):
+        assert {tuple(r) for r in proximity.locate(spark.createDataFrame(points, "point_id long, lat double, lon double"), regions, height=3.0, block=block).collect()} == got
+    assert proximity.locate(spark.createDataFrame(points, "point_id long, lat double, lon double"), regions.limit(0)).count() == 0
     assert got == want and ("square" in {k for _, k in got}) and ("seam" in {k for _, k in got})
+
+
+def test_detailed_border(spark):
+    """A star of many corners: thousands of edges in a slab."""
+    rng = random.Random(8)
+    ring = [(10 + (3 + rng.random()) * math.sin(2 * math.pi * k / 3000), 20 + (3 + rng.random()) * math.cos(2 * math.pi * k / 3000)) for k in range(3000)]
+    regions = spark.createDataFrame([(7, [{"lat": a, "lon": b} for a, b in ring]), (None, [{"lat": 0.0, "lon": 0.0}] * 3), (8, None)], "region_id int, vertices array<struct<lat: double, lon: double>>")
+    points = [(f"p{i}", rng.uniform(5, 15), rng.uniform(15, 25)) for i in range(400)]
+    df = spark.createDataFrame(points, "name string, lat double, lon double")
+
+    def inside(la, lo):
+        return sum(1 for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]) if min(a, c) <= la < max(a, c) and b + (d - b) * (la - a) / (c - a) <= lo) % 2
+
+    for height, block in ((1.0, 50_000), (4.0, 20)):
+        got = {tuple(r) for r in proximity.locate(df, regions, key="name", height=height, block=block).collect()}
+        assert got == {(i, 7) for i, la, lo in points if inside(la, lo)}

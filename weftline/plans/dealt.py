@@ -48,6 +48,21 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return proximity.near_pairs(table(spark, sf, "subset_points"), NEAR_KM)
 
 
+def p3_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The grids that each point lies in: a grid's region is the octagon between the middles and the thirds of its sides."""
+    points = table(spark, sf, "subset_points")
+    usable = points.where(proximity.usable_position(F.col("lat"), F.col("lon")) & F.col("grid_id").isNotNull()).withColumn("x", F.pmod("lon", F.lit(360.0)))
+    ends = usable.groupBy("grid_id").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("x").alias("w"), F.max("x").alias("e"))
+    at = lambda low, high, share: F.col(low) + (F.col(high) - F.col(low)) * share
+    corner = lambda a, b: F.struct(at("s", "n", a).alias("lat"), at("w", "e", b).alias("lon"))
+    ring = F.array(*(corner(a, b) for a, b in OCTAGON))
+    return proximity.locate(points, ends.select("grid_id", ring.alias("vertices")), region="grid_id").withColumnRenamed("region", "in_grid")
+
+
+#: Corners of an octagon in the unit square: latitude, longitude.
+OCTAGON = ((0.0, 0.25), (0.0, 0.75), (0.25, 1.0), (0.75, 1.0), (1.0, 0.75), (1.0, 0.25), (0.75, 0.0), (0.25, 0.0))
+
+
 #: Target columns of the header records: field and type. The second spellings are those the feeds have used so far.
 HEADER = {
     "path": ("path", "string"),
@@ -81,6 +96,12 @@ def p2_table(spark: SparkSession, sf: str) -> DataFrame:
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 SQL = {
+    "p3_regions": f"""WITH p AS (SELECT point_id, grid_id, lat, ((lon % 360) + 360) % 360 AS x FROM subset_points WHERE lat BETWEEN -90 AND 90 AND isfinite(lat) AND isfinite(lon) AND abs(lon) < 1e19),
+b AS (SELECT grid_id, min(lat) AS s, max(lat) AS n, min(x) AS w, max(x) AS e FROM p WHERE grid_id IS NOT NULL GROUP BY 1),
+o AS (SELECT unnest(range({len(OCTAGON)})) AS k, unnest({[a for a, _ in OCTAGON]}) AS a, unnest({[b for _, b in OCTAGON]}) AS b),
+v AS (SELECT grid_id, k, s + (n - s) * a AS y, w + (e - w) * b AS x FROM b, o), d AS (SELECT u.grid_id, u.y AS y1, u.x AS x1, v.y AS y2, v.x AS x2 FROM v u JOIN v ON v.grid_id = u.grid_id AND v.k = (u.k + 1) % {len(OCTAGON)}),
+g AS (SELECT grid_id, least(y1, y2) AS y1, CASE WHEN y1 < y2 THEN x1 ELSE x2 END AS x1, greatest(y1, y2) AS y2, CASE WHEN y1 < y2 THEN x2 ELSE x1 END AS x2 FROM d WHERE y1 <> y2)
+SELECT point_id, g.grid_id AS in_grid FROM p JOIN g ON p.lat >= g.y1 AND p.lat < g.y2 AND g.x1 + (g.x2 - g.x1) * (p.lat - g.y1) / (g.y2 - g.y1) <= p.x GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
     "p3_found": """WITH p AS (SELECT point_id, lat, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z
 FROM subset_points WHERE lat BETWEEN -90 AND 90 AND isfinite(lat) AND isfinite(lon) AND abs(lon) < 1e19)
 SELECT a.point_id AS point_a, b.point_id AS point_b FROM p a JOIN p b ON b.lat BETWEEN a.lat - 0.0045 AND a.lat + 0.0045 AND a.point_id < b.point_id
@@ -93,5 +114,6 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_table": p2_table,
     "p3_found": p3_found,
+    "p3_regions": p3_regions,
     "p5_found": p5_found,
 }
