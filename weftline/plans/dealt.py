@@ -91,11 +91,28 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, sf: str) -> DataFrame:
     records = drift.promote(drift.rescue_ingest(table(spark, sf, "raw_records"), HEADER), APPROVED)
-    return records.select("record_id", "feed", "file_name", "line_no", "written_at", *HEADER, *APPROVED, F.col("_rescued").alias("rescued")).where("_readable")
+    return records.select("record_id", "feed", "file_name", "line_no", "written_at", *HEADER, *APPROVED, F.col("_readable").alias("readable"), F.col("_rescued").alias("rescued"))
 
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 SQL = {
+    "p2_found": r"""WITH t AS (SELECT DISTINCT feed, file_name, written_at, payload FROM raw_records WHERE feed IS NOT NULL AND file_name IS NOT NULL),
+k AS (SELECT row_number() OVER () AS n, * FROM t WHERE json_valid(payload)), o AS MATERIALIZED (SELECT * FROM k WHERE json_type(payload) = 'OBJECT'),
+j AS MATERIALIZED (SELECT n, feed, file_name, replace(substr(e.fullkey, 3), '"', '') AS field, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'decimal' ELSE 'integer' END AS kind,
+  e.type || CAST(e.value AS VARCHAR) AS v FROM o, json_tree(o.payload) e WHERE e.type NOT IN ('OBJECT', 'NULL') AND NOT contains(e.path, '[')),
+p AS (SELECT n, v AS path FROM j WHERE field = 'path' AND kind <> 'array'), w AS (SELECT feed, file_name, min(written_at) AS "at" FROM t GROUP BY 1, 2),
+s AS (SELECT feed, file_name, lag(file_name) OVER (PARTITION BY feed ORDER BY w."at", file_name) AS before FROM w),
+f AS (SELECT feed, file_name, field, list_sort(list(DISTINCT kind)) AS kinds FROM j GROUP BY 1, 2, 3),
+a AS (SELECT s.feed, s.file_name, f.field, f.kinds FROM s JOIN f ON f.feed = s.feed AND f.file_name = s.before), b AS (SELECT s.feed, s.file_name, f.field, f.kinds FROM s JOIN f USING (feed, file_name) WHERE s.before IS NOT NULL),
+c AS (SELECT coalesce(a.feed, b.feed) AS feed, coalesce(a.file_name, b.file_name) AS file_name, coalesce(a.field, b.field) AS field, CASE WHEN b.field IS NULL THEN 'removed' WHEN a.field IS NULL THEN 'added' ELSE 'retyped' END AS change_kind
+  FROM a FULL JOIN b ON a.feed = b.feed AND a.file_name = b.file_name AND a.field = b.field WHERE a.kinds IS DISTINCT FROM b.kinds),
+x AS (SELECT c.feed, c.file_name, c.field AS gone, p.path, min(j.v) AS lo, max(j.v) AS hi FROM c JOIN s USING (feed, file_name) JOIN j ON j.feed = c.feed AND j.file_name = s.before AND j.field = c.field JOIN p USING (n) WHERE change_kind = 'removed' GROUP BY ALL),
+y AS (SELECT c.feed, c.file_name, c.field AS came, p.path, min(j.v) AS lo, max(j.v) AS hi FROM c JOIN j ON j.feed = c.feed AND j.file_name = c.file_name AND j.field = c.field JOIN p USING (n) WHERE change_kind = 'added' GROUP BY ALL),
+g AS (SELECT x.feed, x.file_name, gone, came, count(*) AS n FROM x JOIN y USING (feed, file_name, path) GROUP BY ALL HAVING bool_and(x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)),
+q AS (SELECT *, row_number() OVER (PARTITION BY feed, file_name, gone ORDER BY n DESC, levenshtein(lower(gone), lower(came)), gone, came) AS i, row_number() OVER (PARTITION BY feed, file_name, came ORDER BY n DESC, levenshtein(lower(gone), lower(came)), gone, came) AS k FROM g),
+r AS (SELECT * FROM q WHERE i = 1 AND k = 1)
+SELECT feed, file_name, 'renamed' AS change_kind, gone AS field, came AS new_field FROM r UNION ALL SELECT feed, file_name, change_kind, field, '' FROM c
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.feed = c.feed AND r.file_name = c.file_name AND (change_kind = 'removed' AND gone = field OR change_kind = 'added' AND came = field))""",
     "p3_regions": f"""WITH p AS (SELECT point_id, grid_id, lat, ((lon % 360) + 360) % 360 AS x FROM subset_points WHERE lat BETWEEN -90 AND 90 AND isfinite(lat) AND isfinite(lon) AND abs(lon) < 1e19),
 b AS (SELECT grid_id, min(lat) AS s, max(lat) AS n, min(x) AS w, max(x) AS e FROM p WHERE grid_id IS NOT NULL GROUP BY 1),
 o AS (SELECT unnest(range({len(OCTAGON)})) AS k, unnest({[a for a, _ in OCTAGON]}) AS a, unnest({[b for _, b in OCTAGON]}) AS b),

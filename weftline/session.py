@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, as a Parquet table: smaller where values repeat, and read by column. It stays in the checkpoint folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once for a row: later filters on them stay above, instead of repeating costly expressions
     below. A one-element explode is the barrier; it stays in generated code and moves no data."""
