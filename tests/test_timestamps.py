@@ -86,8 +86,8 @@ def test_zone_tables_against_rules():
         clocks = [dt.datetime(1960, 1, 1) + dt.timedelta(minutes=rng.randrange(40_000_000)) for _ in range(300)]
         want = [int(c.replace(tzinfo=zone).utcoffset().total_seconds()) for c in clocks]
         local = np.array([int((c - dt.datetime(1970, 1, 1)).total_seconds()) for c in clocks])
-        assert zones.local_offsets(area, local, "test").tolist() == want
-    assert zones.local_offsets("No/Where", np.array([0]), "test") is None
+        assert zones.local_offsets(area, local, zones.rules_version()).tolist() == want
+    assert zones.local_offsets("No/Where", np.array([0]), zones.rules_version()) is None
 
 
 def test_first_times(spark):
@@ -107,3 +107,23 @@ def test_first_times(spark):
     got = {tuple(r) for r in timestamps.first_times(steps, labels).collect()}
     assert got == {(1, "2000-01-04 00:00:00"), (4, "1999-12-31 00:00:00")}
     assert timestamps.first_times(steps.limit(0), labels.limit(0)).count() == 0
+
+
+def test_zone_tables_hold_every_transition():
+    """Short and far summer times, against the standard library's reading of the same rules."""
+    import random
+    import zoneinfo
+
+    import pytest
+    from weftline.functions import zones
+
+    version, rng, start = zones.rules_version(), random.Random(3), dt.datetime(1970, 1, 1)
+    days = {"Asia/Gaza": "2040-10-23", "Asia/Hebron": "2072-10-01", "Africa/Freetown": "1939-09-03", "Europe/Berlin": "2900-07-01", "Europe/Dublin": "2500-01-05", "America/Sao_Paulo": "1985-11-02"}
+    for area, day in days.items():
+        zone, at = zoneinfo.ZoneInfo(area), int((dt.datetime.fromisoformat(day) - start).total_seconds())
+        seconds = [at + 43200, *(rng.randrange(-5_300_000_000, 8_000_000_000) for _ in range(300))]
+        want = [(start + dt.timedelta(seconds=s)).replace(tzinfo=zone).utcoffset().total_seconds() for s in seconds]
+        assert zones.local_offsets(area, np.array(seconds), version).tolist() == want
+    assert zones.local_offsets("No/Where", np.array([0]), version) is None and zones.local_offsets("../etc/passwd", np.array([0]), version) is None
+    with pytest.raises(RuntimeError, match="edition"):
+        zones.local_offsets("Asia/Tokyo", np.array([0]), "1999z")

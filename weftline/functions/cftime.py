@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import calendars, reftime
+from weftline.functions import calendars, reftime, zones
 from weftline.functions.reftime import UNIT_MONTHS
 from weftline.model import FREQUENCY_STEP, FREQUENCY_UNIT
 from weftline.session import once
@@ -127,7 +127,7 @@ def epoch_of(units: str, calendar: str) -> tuple[str, float, int, tuple[int, int
     if not parser or head[1] not in reftime.SINCE:
         raise ValueError(f"unusable units {units!r}")
     word = head[0]
-    y, m, d, clock, offset, fraction, ok = reftime.reference_time(parser, [head[2]], calendar, {"UTC": 0, "GMT": 0, "Z": 0}, "")
+    y, m, d, clock, offset, fraction, ok = reftime.reference_time(parser, [head[2]], calendar, {"UTC": 0, "GMT": 0, "Z": 0}, zones.rules_version())
     if not ok[0] or word not in reftime.UNIT_SECONDS and word not in UNIT_MONTHS:
         raise ValueError(f"unusable units {units!r}")
     days = int(calendars.to_days(y, m, d, calendar)[0])
