@@ -52,6 +52,14 @@ def test_tokens():
     assert abs(tokens.count("word " * 50_000, path) - 50_000) < 10
 
 
+def test_long_texts_have_the_tokens_of_one_piece():
+    rng, path = random.Random(3), f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}"
+    whole = lambda t: len(tokens.encoding(path).encode_ordinary(t))
+    mixed = "".join(rng.choice(["word", " word", "  ", " ", "\n", "'s", "1234", "สวัสดี", "。", "...", "don't "]) for _ in range(120_000))
+    for text in (mixed, "x" * 250_000, " " * 250_000, "ab " * 100_000, "ก" * 150_000, " " + "y" * 150_000 + "  z"):
+        assert tokens.count(text, path) == whole(text)
+
+
 def test_containers(spark):
     texts = ["word " * n for n in (3, 300, 60, 60, 500, 1, 700, 256)]
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(100, None, "x", 1), (101, "", "x", 1), (None, "word", "x", 1), (0, texts[0], "x", 1)]

@@ -80,12 +80,24 @@ def partition(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each item, none above ``capacity``; every size must be positive and at most the capacity.
 
-    Begins with the fewest windows that the total needs; while one exceeds the capacity, the number rises by what the excess needs.
+    Begins with the fewest windows that the total needs, or that the items above half the capacity do. While one exceeds the capacity,
+    their number rises, by twice as much each time; of the numbers passed over the least that will do is then searched by halving.
     """
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    low, step = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum())) - 1, 1
     while True:
+        k = min(low + step, len(sizes))
         window, sums = partition(sizes, k)
         excess = int(np.maximum(sums - capacity, 0).sum())
         if not excess:
-            return window
-        k = min(k + max(1, excess // capacity), len(sizes))
+            break
+        low, step = k, max(2 * step, excess // capacity)
+    while k - low > 1:
+        middle = (low + k) // 2
+        tried, sums = partition(sizes, middle)
+        if sums.max() > capacity:
+            low = middle
+        else:
+            k, window = middle, tried
+    return window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,14 +13,12 @@ from weftline.llm import tokens
 from weftline.operators.ranking import running_total
 from weftline.session import cut, small_rows
 
-#: Tokens of a block; documents stay whole, so a block ends with the document that fills it.
-BLOCK = 256
-#: Output slots of a shard.
+#: Tokens of a block.
+BLOCK = 512
+#: Output slots, a block each, of a shard.
 SLOTS = 4096
-#: Rows of a bucket of an index; the level between a running total and its parts.
-BUCKET = 8192
-#: Rounds that fill what the crossing block of the last pass leaves open.
-ROUNDS = 4
+#: Above so many slots counts are drawn from the normal limit of their distribution.
+_EXACT = 10**9
 
 
 def permute(index: Column, size: Column, key: Column) -> Column:
@@ -47,13 +47,49 @@ def permute(index: Column, size: Column, key: Column) -> Column:
     return walk(index, size, key)
 
 
+def _draw(rng: np.random.Generator, held: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` slots, drawn from ``held`` slots of each source without putting back, are each source's."""
+    out, left, rest = np.zeros(len(held), np.int64), int(held.sum()), n
+    for i, k in enumerate(held.tolist()):
+        low, high = max(0, rest - (left - k)), min(k, rest)
+        if low == high:
+            x = low
+        elif left < _EXACT:
+            x = int(rng.hypergeometric(k, left - k, rest))
+        else:
+            p = k / left
+            x = round(rng.normal(rest * p, np.sqrt(max(rest * p * (1 - p) * (left - rest) / (left - 1), 0.0))))
+        out[i] = x = min(max(x, low), high)
+        left, rest = left - k, rest - x
+    return out
+
+
+def shard_counts(totals: np.ndarray, shards: int, per_shard: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source before the shard, slots of each in it).
+
+    The counts of all shards are a multinomial draw given that every source gets its total. They come from halving the shards: each
+    half's counts are drawn with a seed of the halving's own, so that any shard finds its counts alone, in as many draws as it takes to
+    halve down to it.
+    """
+    low, high, before, held = 0, shards, np.zeros(len(totals), np.int64), totals.astype(np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = _draw(np.random.default_rng([seed, low, high]), held, min((middle - low) * per_shard, int(held.sum())))
+        if shard < middle:
+            high, held = middle, left
+        else:
+            low, before, held = middle, before + left, held - left
+    return before, held
+
+
 class Mix:
     """Documents of several sources, combined so that each has its target share of all tokens.
 
-    Per source the documents, in hash order, are packed into blocks of about ``block`` tokens. The tokens a source is to give make
-    full passes over its blocks and a last, partial one, which takes blocks by a pseudorandom permutation of their index up to the
-    share. All these uses together are the output slots: the slot's own permutation deals them to shards, so that the sources'
-    counts in a shard are a multinomial draw given the exact totals. A slot finds its block by index.
+    Per source the documents' tokens, one document after the other in hash order, are packed into blocks of ``block`` tokens (the
+    source's last one may be shorter); a document that crosses an edge lies in both blocks. The mixture is a row of slots, a block
+    each, in shards of ``per_shard`` slots. The sources' counts are drawn for each shard, as a multinomial given that every source
+    gets the blocks of its share. The j-th slot of a source takes the block at place ``j`` modulo their number in the source's own
+    pseudorandom permutation: every block once before any is taken twice. Slots and blocks are joined by that index.
 
     ``total``: tokens of the mixture; None for as many as the documents of the named sources have. A source that can't reach its
     share within ``max_repeats`` gives all it may; one without documents gives nothing; sources not named, with a null or
@@ -62,81 +98,62 @@ class Mix:
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, seed: int = 7, folder: str = tokens.TOKENIZERS, vocabulary: str = tokens.VOCABULARY):
-        self.spark, self.seed = documents.sparkSession, seed
+        self.spark, self.seed, self.block = documents.sparkSession, seed, block
         named = small_rows(targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")))
-        self.targets = {r["source"]: (r["share"], r["repeats"]) for r in named}
+        self.targets = {r["source"]: (r["share"], r["repeats"]) for r in sorted(named)}
         names = self.spark.createDataFrame([(s,) for s in self.targets] or [(None,)], "source string")
         docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").join(F.broadcast(names), "source")
         docs = docs.select("doc_id", "source", tokens.n_tokens(F.col("text"), folder, vocabulary).alias("n_tokens")).where("n_tokens > 0")
-        docs = docs.withColumn("hash", F.xxhash64("doc_id", F.lit(seed)))
-        docs = docs.withColumn("bucket", F.shiftright("hash", 50))
-        placed = running_total(cut(docs), ["source"], "bucket", ["hash", "doc_id"], "n_tokens", "start")
-        self.docs = cut(placed.select("doc_id", "source", "n_tokens", F.floor(F.col("start") / block).alias("run")))
-        runs = self.docs.groupBy("source", "run").agg(F.sum("n_tokens").alias("tokens")).withColumns({"one": F.lit(1), "bucket": F.floor(F.col("run") / BUCKET)})
-        ranked = running_total(runs, ["source"], "bucket", ["run"], "one", "block")
-        sizes = small_rows(runs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks")))
-        self.sizes = {r["source"]: (int(r["tokens"]), int(r["blocks"])) for r in sizes}
-        self.total = sum(t for t, _ in self.sizes.values()) if total is None else total
-        self.plan = {}
-        for source, (tokens_, blocks) in self.sizes.items():
+        docs = cut(docs.withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.shiftright("hash", 50)))
+        self.docs = cut(running_total(docs, ["source"], "bucket", ["hash", "doc_id"], "n_tokens", "start").select("doc_id", "source", "n_tokens", "start"))
+        self.sizes = {r["source"]: int(r["tokens"]) for r in small_rows(docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))}
+        self.total = sum(self.sizes.values()) if total is None else total
+        #: source -> (its blocks, slots it gets)
+        self.plan: dict[str, tuple[int, int]] = {}
+        for source in sorted(self.sizes):
             share, repeats = self.targets[source]
-            want = round(share * self.total)
-            passes = min(want // tokens_, repeats)
-            self.plan[source] = passes, 0 if passes == repeats else want - passes * tokens_, blocks
-        by_source = self.spark.createDataFrame([(s, *p) for s, p in self.plan.items()] or [(None, 0, 0, 0)], "source string, passes long, rest long, blocks long")
-        blocks = ranked.join(F.broadcast(by_source), "source").withColumn("index", permute(F.col("block"), F.col("blocks"), F.xxhash64("source", F.lit(seed))))
-        self.blocks = cut(blocks.select("source", "run", "block", "index", "tokens", "rest"))
-        self.last = self._last_pass()
-
-    def _last_pass(self) -> DataFrame:
-        """``source, run, rank``: the blocks of the partial pass."""
-        taken = None
-        left = self.blocks.where("rest > 0").withColumn("bucket", F.floor(F.col("index") / BUCKET))
-        for turn in range(ROUNDS):
-            # in index order up to the block that would cross the share; then again with what fits into the rest
-            summed = running_total(left.where("tokens <= rest"), ["source"], "bucket", ["index"], "tokens", "before").withColumn("turn", F.lit(turn))
-            fits = cut(summed.where(F.col("before") + F.col("tokens") <= F.col("rest")).drop("before"))
-            taken = fits if taken is None else taken.unionByName(fits)
-            given = F.broadcast(fits.groupBy("source").agg(F.sum("tokens").alias("given")))
-            left = left.join(fits.select("source", "index"), ["source", "index"], "left_anti").join(given, "source", "left").withColumn("rest", F.col("rest") - F.coalesce("given", F.lit(0))).drop("given")
-        taken = taken.withColumns({"one": F.lit(1), "part": F.col("turn") * 2**40 + F.col("bucket")})
-        return cut(running_total(taken, ["source"], "part", ["index"], "one", "rank").select("source", "run", "rank"))
+            blocks = -(-self.sizes[source] // block)
+            self.plan[source] = blocks, min(round(share * self.total * blocks / self.sizes[source]), repeats * blocks)
+
+    def _numbers(self) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame([(i, s, n) for i, (s, (n, _)) in enumerate(self.plan.items())] or [(None, None, 0)], "owner int, source string, blocks long"))
 
     def slots(self, per_shard: int = SLOTS) -> DataFrame:
-        """``shard, slot, source, run``: the output, slot by slot."""
-        partial = {r["source"]: r["n"] for r in small_rows(self.last.groupBy("source").agg(F.count("*").alias("n")))}
-        ranges, at = [], 0
-        for source in sorted(self.plan):
-            passes, _, blocks = self.plan[source]
-            size = passes * blocks + partial.get(source, 0)
-            if size:
-                ranges.append((source, at, at + size, passes * blocks, blocks))
-            at += size
-        lows = np.array([r[1] for r in ranges] or [0])
-
-        @F.pandas_udf("int")
-        def owner(position: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(lows, position.to_numpy(), "right").astype(np.int32) - 1)
-
-        slots = self.spark.range(at).select("id", permute(F.col("id"), F.lit(at), F.lit(self.seed)).alias("position"))
-        slots = slots.withColumn("owner", owner("position"))
-        held = F.broadcast(self.spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "owner int, source string, low long, high long, full long, blocks long"))
-        slots = slots.join(held, "owner")
-        j, late = F.col("position") - F.col("low"), F.col("position") - F.col("low") >= F.col("full")
-        slots = slots.select("id", "source", late.alias("late"), F.when(late, j - F.col("full")).otherwise(j % F.col("blocks")).alias("at"))
-        index = self.blocks.select("source", F.lit(False).alias("late"), F.col("index").alias("at"), "run").unionByName(self.last.select("source", F.lit(True).alias("late"), F.col("rank").alias("at"), "run"))
-        found = slots.join(index, ["source", "late", "at"])
-        return found.select(F.floor(F.col("id") / per_shard).alias("shard"), (F.col("id") % per_shard).alias("slot"), "source", "run")
+        """``shard, slot, source, index``: the mixture, slot by slot, with the permuted index of its block. A row of numbers for each
+        block used; no row of it is made on the driver."""
+        totals, blocks = (np.array([p[k] for p in self.plan.values()], np.int64) for k in (1, 0))
+        shards, seed = int(-(-int(totals.sum()) // per_shard)), self.seed
+
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for shard in batch["id"]:
+                    before, counts = shard_counts(totals, shards, per_shard, int(shard), seed)
+                    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+                    j = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + before[owner]
+                    slot = np.random.default_rng([seed, 1, int(shard)]).permutation(len(owner))
+                    yield pd.DataFrame({"shard": int(shard), "slot": slot, "owner": owner, "index": j % blocks[owner]})
+
+        made = self.spark.range(shards).mapInPandas(fill, "shard long, slot long, owner int, index long")
+        return made.join(self._numbers(), "owner").select("shard", "slot", "source", "index")
+
+    def blocks(self) -> DataFrame:
+        """``source, block, index, doc_id, start, n_tokens, tokens``: the documents' parts, ``tokens`` long, in every block."""
+        first, last = F.floor(F.col("start") / self.block), F.floor((F.col("start") + F.col("n_tokens") - 1) / self.block)
+        parts = self.docs.withColumn("block", F.explode(F.sequence(first, last)))
+        inside = F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * self.block) - F.greatest(F.col("start"), F.col("block") * self.block)
+        return parts.join(self._numbers(), "source").select("source", "block", permute(F.col("block"), F.col("blocks"), F.xxhash64("source", F.lit(self.seed))).alias("index"), "doc_id", "start", "n_tokens", inside.alias("tokens"))
 
     def chosen(self) -> DataFrame:
-        """``doc_id, source, n_tokens, times_used``: the documents of the mixture."""
-        uses = self.slots().groupBy("source", "run").agg(F.count("*").alias("times_used"))
-        return self.docs.join(uses, ["source", "run"]).select("doc_id", "source", "n_tokens", "times_used")
+        """``doc_id, source, n_tokens, times_used, tokens_used``: the documents of the mixture. ``times_used``: how often a document is
+        used, in whole or in part; ``tokens_used``: its tokens in the mixture."""
+        uses = self.slots().groupBy("source", "index").agg(F.count("*").alias("uses"))
+        used = self.blocks().join(uses, ["source", "index"]).groupBy("source", "start", "doc_id", "n_tokens")
+        return used.agg(F.max("uses").alias("times_used"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used")).drop("start").select("doc_id", "source", "n_tokens", "times_used", "tokens_used")
 
     def shares(self, chosen: DataFrame) -> DataFrame:
         """``source, target_share, actual_share, tokens, documents, max_used, max_repeats, reached``: a row for every named source."""
         held = F.broadcast(self.spark.createDataFrame([(s, *t) for s, t in self.targets.items()] or [(None, 0.0, 0)], "source string, target_share double, max_repeats int"))
-        used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times_used")).alias("tokens"), F.count("*").alias("documents"), F.max("times_used").alias("max_used"))
+        used = chosen.groupBy("source").agg(F.sum("tokens_used").alias("tokens"), F.count("*").alias("documents"), F.max("times_used").alias("max_used"))
         all_ = held.where("source is not null").join(used, "source", "left").fillna(0, ["tokens", "documents", "max_used"])
         every = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row per source
         shares = all_.withColumn("actual_share", F.when(every > 0, F.col("tokens") / every).otherwise(0.0))

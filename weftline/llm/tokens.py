@@ -16,7 +16,7 @@ TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary splits a text before merging. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text is tokenised in pieces of at most this many characters, cut at blanks; memory stays bounded for very long texts.
+#: A text is tokenised in pieces of about this many characters, so that memory stays bounded for very long texts.
 PIECE = 100_000
 
 
@@ -30,17 +30,24 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _seam(text: str, at: int) -> int:
+    """A place near ``at`` where no token crosses over: a blank after something else, with which the pattern always begins anew."""
+    for place in (text.rfind(" ", 1, at), text.find(" ", at)):
+        while 0 < place and text[place - 1].isspace():
+            place = text.rfind(" ", 1, place) if place < at else text.find(" ", place + 1)
+        if place > 0:
+            return place
+    return len(text)
+
+
 def count(text: str | None, path: str) -> int:
-    """Tokens of a text; 0 for null and empty."""
-    if not text:
-        return 0
-    total, at = 0, 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = at + PIECE if cut <= at else cut
-        total += len(encoding(path).encode_ordinary(text[at:cut]))
-        at = cut
-    return total + len(encoding(path).encode_ordinary(text[at:]))
+    """Tokens of a text, as many as in one piece; 0 for null and empty."""
+    total = 0
+    while text and len(text) > PIECE:
+        place = _seam(text, PIECE)
+        total += len(encoding(path).encode_ordinary(text[:place]))
+        text = text[place:]
+    return total + len(encoding(path).encode_ordinary(text)) if text else total
 
 
 def n_tokens(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
