@@ -24,6 +24,7 @@ def partition(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     after = np.full(n, -1, np.int64)  # the next item of the same window
     order = np.argsort(-sizes, kind="stable")
     singles = sizes[order]
+    rest = [*singles.tolist(), 0]
     at = 0  # the first item that is in no row yet
     rows: dict[int, tuple] = {}
     heap: list[tuple[int, int]] = []
@@ -50,6 +51,26 @@ def partition(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
                 rows[turn] = s, first, last
                 turn += 1
                 continue
+        if not free and at < n:
+            # a full row and the next item are the two of greatest imbalance, mostly many times in turn: each item goes onto the smallest window
+            low = -heap[0][0] if heap else -1
+            sums, ends, top, begun = s.tolist(), last.tolist(), int(s[0]), at
+            windows = [(x, i) for i, x in enumerate(sums)]
+            windows.reverse()  # ascending, so a heap
+            while at < n and rest[at] >= low and (gap := top - windows[0][0]) >= rest[at + 1] and gap >= low:
+                x, i = windows[0]
+                x += rest[at]
+                heapq.heapreplace(windows, (x, i))
+                after[ends[i]] = ends[i] = order[at]
+                sums[i], top, at = x, max(top, x), at + 1
+            if at > begun:
+                s, last = np.array(sums), np.array(ends)
+                o = np.argsort(-s, kind="stable")
+                s, first, last = s[o], first[o], last[o]
+                heapq.heappush(heap, (-int(s[0] - s[-1]), turn))
+                rows[turn] = s, first, last
+                turn += 1
+                continue
         if not heap and at >= n:
             break
         sb, fb, lb = pop()
