@@ -31,6 +31,7 @@ def test_validate_load_subset(spark, tmp_path):
 def test_downloads_skip_what_a_better_replica_has(spark, tmp_path):
     folder, at = str(tmp_path), dt.datetime(2000, 1, 1)
     rows = [(1, "HTTPServer", "n", "a"), (2, "OPENDAP", "n", "a"), (3, "HTTPServer", "n", "b"), (4, "OPENDAP", "x", "b"), (5, "HTTPServer", "n", ""), (6, "OPENDAP", "n", ""), (7, "OPENDAP", "n", "c"), (8, "local_file", "n", "c")]
+    rows = [(*r, c and c * 16 + "0" * 16) for *r, c in rows]
     spark.createDataFrame([(f"p{i}", i, 1, *r) for i, *r in rows], "path string, path_id long, version long, file_type string, data_node string, checksum string").write.parquet(f"{folder}/s/catalog")
     spark.createDataFrame([("tas", at, i, 0) for i, *_ in rows], "var string, at timestamp_ntz, path_id long, idx long").write.parquet(f"{folder}/s/links")
     spark.createDataFrame([(i, 0, float(i)) for i, *_ in rows], "path_id long, idx long, value double").write.parquet(f"{folder}/values")

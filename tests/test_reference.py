@@ -44,15 +44,16 @@ def test_soft_links_round_trip(spark, tmp_path):
 
 
 def test_equivalents_and_fail_over(spark):
+    md5 = "0123456789abcdef" * 2  # placeholders and blanks identify nothing
     df = spark.createDataFrame(
-        [("/a/f.nc", 1, "s", "OPENDAP", False), ("/b/f.nc", 2, "s", "OPENDAP", True), ("/c/f.nc", 3, "other", "OPENDAP", True), ("/d/g.nc", 4, "", "HTTPServer", True), ("/e/h.nc", 5, "", "OPENDAP", True), ("/x/f.nc", 6, "s", "OPENDAP", True), ("/n", 7, None, "HTTPServer", None)],
+        [("/a/f.nc", 1, md5, "OPENDAP", False), ("/b/f.nc", 2, md5, "OPENDAP", True), ("/c/f.nc", 3, "other", "OPENDAP", True), ("/d/g.nc", 4, "", "HTTPServer", True), ("/e/h.nc", 5, "", "OPENDAP", True), ("/x/f.nc", 6, md5, "OPENDAP", True), ("/n", 7, None, "HTTPServer", None), ("/o", 8, "f" * 32, "HTTPServer", True), ("/p", 9, "f" * 32, "OPENDAP", True)],
         "path string, id int, checksum string, file_type string, available boolean",
     )
     used = spark.createDataFrame([("/a/f.nc",)], "path string")
     assert [r["id"] for r in catalog.equivalents(df, used).orderBy("id").collect()] == [1, 2, 6]
     allowed = F.col("path") != "/b/f.nc"
     strict = dict(rows(catalog.fail_over(df, ["OPENDAP"], allowed, "id", ["id"])))
-    assert strict == {1: 6, 2: 6, 3: 3, 4: None, 5: 5, 6: 6, 7: None}
+    assert strict == {1: 6, 2: 6, 3: 3, 4: None, 5: 5, 6: 6, 7: None, 8: None, 9: 9}
     assert dict(rows(catalog.fail_over(df, ["OPENDAP"], allowed, "id", ["id"], strict=False)))[4] == 5
 
 

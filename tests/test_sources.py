@@ -25,6 +25,7 @@ def test_scan_and_checksums(spark, tmp_path):
 
     (tmp_path / "a.nc").write_bytes(b"hello")
     (tmp_path / "b.txt").write_bytes(b"other")
+    assert [r["name"] for r in files.scan(spark, str(tmp_path)).collect()] == ["a.nc", "b.txt"]
     assert [r["name"] for r in files.scan(spark, str(tmp_path), r"\.nc$").collect()] == ["a.nc"]
     for kind, h in (("MD5", hashlib.md5), ("SHA256", hashlib.sha256), ("sha1", hashlib.sha1)):
         assert files.checksums(spark, str(tmp_path), kind, "*.nc").first()["checksum"] == h(b"hello").hexdigest()
@@ -37,3 +38,57 @@ def test_streaming_append(spark, tmp_path):
         stream = spark.readStream.schema("seq long, t int, v string").parquet(source)
         append_stream(stream, out, ["t"], ["v"], "seq", f"{tmp_path}/checkpoint").awaitTermination(120)
     assert sorted((r["t"], r["v"]) for r in snapshot(spark, out).collect()) == [(1, "a"), (2, "z"), (5, "y")]
+
+
+def test_lost_snapshots_raise(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def run(rows, checkpoint):
+        spark.createDataFrame(rows, "seq long, t int, v string").coalesce(1).write.mode("append").parquet(source)
+        append_stream(spark.readStream.schema("seq long, t int, v string").parquet(source), out, ["t"], ["v"], "seq", f"{tmp_path}/{checkpoint}").awaitTermination(120)
+
+    run([(0, 1, "a")], "one")
+    run([(1, 2, "b")], "one")
+    with pytest.raises(Exception, match="rows would be lost"):
+        run([(2, 3, "c")], "another")
+    shutil.rmtree(f"{out}/batch=00000001")
+    shutil.rmtree(f"{out}/batch=00000000")
+    with pytest.raises(Exception, match="rows would be lost"):
+        run([(3, 4, "d")], "one")
+
+
+def test_files_are_handled_with_trials(spark):
+    import pytest
+    from weftline.sources import handling
+
+    def rows(path):
+        import pandas as pd
+
+        if "bad" in path:
+            raise OSError("not there")
+        return pd.DataFrame({"n": [len(path)], "kind": ["x"]})
+
+    df = spark.createDataFrame([("/a", "local_file"), ("/bad", "HTTPServer"), ("/bad", "FTPServer"), (None, "OPENDAP"), ("/ccc", "OPENDAP")], "path string, file_type string")
+    got = {(r["path"], r["trials"], r["error"], r["n"]) for r in handling.handle(df, rows, "n int, kind string", trials=3, backoff=0).collect()}
+    assert got == {("/a", 1, None, 2), ("/bad", 3, "OSError: not there", None), ("/ccc", 1, None, 4)}
+    for mode in ("raise", "failfast"):
+        with pytest.raises(Exception, match="not there"):
+            handling.handle(df, rows, "n int, kind string", trials=2, backoff=0, mode=mode).collect()
+    found = handling.probe(df, rows, trials=2, backoff=0).collect()
+    assert [r["available"] for r in found] == [True, False, True, False, True]
+    sent = handling.dispatch(df, {"local_file": rows, "OPENDAP": rows}, "n int, kind string", trials=1)
+    assert {(r["path"], r["n"]) for r in sent.collect()} == {("/a", 2), ("/ccc", 4)}
+
+
+def test_damaged_cdf_file_fails(spark, tmp_path):
+    import pytest
+
+    spark.dataSource.register(cdf.CdfDataSource)
+    (tmp_path / "x.nc").write_bytes(b"no such thing")
+    for options in ({"mode": "failfast"}, {"trials": 2, "backoff": 0}):
+        with pytest.raises(Exception, match="no classic CDF file"):
+            spark.read.format("cdf").options(path=str(tmp_path), var="tas", **options).load().collect()

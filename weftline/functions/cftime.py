@@ -235,7 +235,10 @@ def rebase(num: Column, units: str, to: str, calendar: str | None = "standard")
 
 
 def date_print(cf: Column) -> Column:
-    return F.format_string("%04d-%02d-%02d %02d:%02d:%02d", cf["year"], cf["month"], cf["day"], cf["hour"], cf["minute"], cf["second"])
+    """``YYYY-MM-DD HH:MM:SS``, in generated code; years outside of 0 to 9999 as they are."""
+    two = lambda n: F.lpad(cf[n].cast("string"), 2, "0")
+    year = F.when(cf["year"].between(0, 9999), F.lpad(cf["year"].cast("string"), 4, "0")).otherwise(cf["year"].cast("string"))
+    return F.concat(year, F.lit("-"), two("month"), F.lit("-"), two("day"), F.lit(" "), two("hour"), F.lit(":"), two("minute"), F.lit(":"), two("second"))
 
 
 def truncate(value: Column, digits: int) -> Column:

@@ -137,6 +137,13 @@ def inverse_permutation(df: DataFrame, value: list[str], bucket: Column, name: s
     return positions(df, value, bucket, name=name)
 
 
+def unique_with_inverse(df: DataFrame, column: str, bucket: Column, name: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(``column, place``: the distinct values with their place in the order; the rows with the place of their value). Nulls are left out.
+    ``bucket``: a whole number that grows with the value."""
+    unique = positions(df.where(F.col(column).isNotNull()).select(column).distinct(), [column], bucket, name=name)
+    return unique, df.join(unique, column)
+
+
 def take(values: Column, indices: Column) -> Column:
     """Values at 0-based positions; null where the position is beyond the array, and for all positions of an empty one."""
     return F.transform(indices, lambda i: F.try_element_at(values, (i + 1).cast("int")))

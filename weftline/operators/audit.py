@@ -65,8 +65,16 @@ def axis_audit(files: DataFrame, frequency: str, units: str, calendar: str, inst
 
 
 def corrected(files: DataFrame, audited: DataFrame, units: str, force: bool = False) -> DataFrame:
-    """Files with the right axis and units where the audit found code 001 (or, with ``force``, wherever it has an axis)."""
-    right = audited.select("file", F.col("time").alias("_right"), F.array_contains("control", "001").alias("_wrong"))
+    """``files`` as they are rewritten: the right axis, bounds and units where the audit found code 001 (or, with ``force``, wherever it
+    has an axis), and no bounds where it found 004. ``rewritten`` says whether a file's content changed, so that its ``checksum``, null
+    then, is to be taken anew."""
+    right = audited.select("file", F.col("time").alias("_right"), F.array_contains("control", "001").alias("_wrong"), F.array_contains("control", "004").alias("_instant"))
     joined = files.join(right, "file", "left")
-    fix = F.col("_right").isNotNull() & (F.lit(force) | F.col("_wrong"))
-    return joined.withColumns({"time": F.when(fix, F.col("_right")).otherwise(F.col("time")), "units": F.when(fix, F.lit(units)).otherwise(F.col("units"))}).select(*files.columns)
+    fix = F.coalesce(F.col("_right").isNotNull() & (F.lit(force) | F.col("_wrong")), F.lit(False))
+    drop = F.coalesce(F.col("_instant"), F.lit(False))
+    columns = {"time": F.when(fix, F.col("_right")).otherwise(F.col("time")), "units": F.when(fix, F.lit(units)).otherwise(F.col("units"))}
+    if "time_bnds" in files.columns:
+        columns["time_bnds"] = F.when(~drop, F.col("time_bnds"))
+    if "checksum" in files.columns:
+        columns["checksum"] = F.when(~(fix | drop), F.col("checksum"))
+    return joined.withColumns({"rewritten": fix | drop}).withColumns(columns).select(*files.columns, "rewritten")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import cftime
+
 
 def append(base: DataFrame, new: DataFrame, on: list[str], values: list[str], pos: str = "pos", check_empty: bool = False, granularity: str = "block", skip: tuple[str, ...] = ()) -> DataFrame:
     """``on, pos, values``: coordinates of ``new`` that ``base`` has are overwritten in place, others come at the end, in their order.
@@ -37,6 +39,23 @@ def append(base: DataFrame, new: DataFrame, on: list[str], values: list[str], po
     return joined.select(*on, place.alias(pos), *(value(v).alias(v) for v in values))
 
 
+def append_times(base: DataFrame, new: DataFrame, time: str, values: list[str], units: str, new_units: str, calendar: str | None = "standard", **options) -> DataFrame:
+    """:func:`append` on a time axis: the times of ``new`` are converted from their own units into the base's before they are matched."""
+    converted = new.withColumn(time, cftime.rebase(F.col(time), new_units, units, calendar).cast(base.schema[time].dataType))
+    return append(base, converted, [time], values, **options)
+
+
+def concatenate(tables: list[DataFrame]) -> DataFrame:
+    """Rows of all tables; columns that one of them lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def common(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column that both tables have; nulls are none."""
+    one = lambda df: df.where(F.col(column).isNotNull()).select(column)
+    return one(a).intersect(one(b))
+
+
 def append_catalog(base: DataFrame, new: DataFrame, on: str = "path") -> DataFrame:
     """Union of two catalogs by path: rows of ``new`` replace those of ``base``."""
     return base.join(new.select(on), on, "left_anti").unionByName(new, allowMissingColumns=True)

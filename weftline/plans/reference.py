@@ -473,6 +473,35 @@ def dimension_compatibility(spark, sf):
     return merge.incompatible_dimensions(n, n.withColumn("value", F.when(F.col("idx") % 10 == 3, F.col("value") + 1).otherwise(F.col("value"))), ["dim"])
 
 
+@query("""WITH b AS (SELECT o_orderkey % 400 AS d, max(o_totalprice) AS v FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), n AS (SELECT o_orderkey % 500 AS d, min(o_totalprice) AS v FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+SELECT CAST(coalesce(b.d, n.d) AS DOUBLE) AS t, coalesce(n.v, b.v) AS v, CASE WHEN b.d IS NOT NULL THEN b.d ELSE (SELECT max(d) FROM b) + row_number() OVER (PARTITION BY b.d IS NULL ORDER BY n.d) END AS pos FROM b FULL JOIN n ON b.d = n.d""")
+def append_times(spark, sf):
+    """A base in days; what is appended counts hours from another day."""
+    o = table(spark, sf, "orders")
+    base = o.where("o_custkey % 3 <> 0").groupBy((F.col("o_orderkey") % 400).alias("pos")).agg(F.max("o_totalprice").alias("v")).withColumn("t", F.col("pos").cast("double"))
+    new = o.where("o_custkey % 2 = 0").groupBy((F.col("o_orderkey") % 500).alias("pos")).agg(F.min("o_totalprice").alias("v")).withColumn("t", (F.col("pos") - 10).cast("double") * 24)
+    return merge.append_times(base, new, "t", ["v"], "days since 1850-01-01", "hours since 1850-01-11").select("t", "v", "pos")
+
+
+@query("""SELECT o_orderkey AS k, o_totalprice AS v, NULL AS side FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT o_orderkey, NULL, 'new' FROM orders WHERE o_custkey % 2 = 0""")
+def concatenate(spark, sf):
+    o = table(spark, sf, "orders")
+    a = o.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return merge.concatenate([a, o.where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("side"))])
+
+
+@query("""SELECT DISTINCT file_type FROM soft_links WHERE data_node LIKE '%quartz%' AND file_type IN (SELECT file_type FROM soft_links WHERE data_node LIKE '%cobalt%')""")
+def common_types(spark, sf):
+    links_ = table(spark, sf, "soft_links")
+    return merge.common(links_.where("data_node like '%quartz%'"), links_.where("data_node like '%cobalt%'"), "file_type")
+
+
+@query("""SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS place FROM orders""")
+def unique_with_inverse(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return align.unique_with_inverse(o, "o_custkey", F.floor(F.col("o_custkey") / 1000))[1].select("o_orderkey", "place")
+
+
 # ---------------------------------------------------------------- calendars
 
 

@@ -1,7 +1,9 @@
 """A Spark data source for classic CDF files (versions 1 and 2), read and written with numpy.
 
 ``spark.read.format("cdf").option("path", folder_or_file).option("var", name).load()`` gives a row for each index of the variable's
-first dimension: ``path, var, idx, shape, value``, its cells as an array of doubles, fill values and NaN as null.
+first dimension: ``path, var, idx, shape, value``, its cells as an array of doubles, fill values and NaN as null. A file that can't be
+read is tried ``trials`` times (5), ``backoff`` seconds (3) times the number of trials apart, and then fails the job; with ``mode``
+``failfast`` at once.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftline.model import LOCAL_ELEMENTS
+from weftline.sources.handling import HandlingError, tried
 
 #: Type codes of the format: numpy type and size.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -134,33 +138,48 @@ def write(path: str, dimensions: dict[str, int | None], variables: dict[str, tup
                     f.write(np.asarray(data[k], ">f8").tobytes())
 
 
-class _Rows(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
+    """Files are only listed here; headers are read in the tasks, ``filespertask`` files each."""
+
     def __init__(self, options: dict):
         self.path, self.var = options["path"], options["var"]
         self.limit = int(options.get("maxelements", LOCAL_ELEMENTS // 64))
+        self.files = int(options.get("filespertask", 1))
+        self.trials = 1 if options.get("mode", "retry").lower() == "failfast" else int(options.get("trials", 5))
+        self.backoff = float(options.get("backoff", 3.0))
 
-    def partitions(self) -> list[_Rows]:
-        """Runs of rows below the request limit, of every file that has the variable. Reads headers only."""
+    def partitions(self) -> list[_Files]:
         files = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names if n.endswith(".nc"))
-        out = []
-        for path in files:
-            header = Header(path)
-            if self.var in header.variables:
-                shape = header.shape(self.var) or [1]
-                step = max(1, self.limit // max(1, int(np.prod(shape[1:], dtype=np.int64))))
-                out += [_Rows(path, a, min(a + step, shape[0])) for a in range(0, shape[0], step)]
-        return out
-
-    def read(self, part: _Rows) -> Iterator[tuple]:
-        header = Header(part.path)
-        shape = (header.shape(self.var) or [1])[1:]
-        for k, row in enumerate(header.rows(self.var, part.start, part.stop)):
-            yield part.path, self.var, part.start + k, shape, [None if x != x else float(x) for x in row]
+        return [_Files(files[i : i + self.files]) for i in range(0, len(files), self.files)]
+
+    def _tried(self, function, path: str):
+        result, _, error = tried(function, path, self.trials, self.backoff)
+        if error:
+            raise HandlingError(f"{path}: {error}")
+        return result
+
+    def read(self, part: _Files) -> Iterator[pa.RecordBatch]:
+        """Runs of rows below the request limit, of every file that has the variable, as Arrow batches."""
+        for path in part.paths:
+            header = self._tried(Header, path)
+            if self.var not in header.variables:
+                continue
+            shape = header.shape(self.var) or [1]
+            width = int(np.prod(shape[1:], dtype=np.int64))
+            step = max(1, self.limit // max(1, width))
+            for start in range(0, shape[0], step):
+                n = min(start + step, shape[0]) - start
+                cells = self._tried(lambda _, a=start, b=start + n: header.rows(self.var, a, b), path)
+                flat = cells.ravel()
+                offsets = pa.array(np.arange(0, len(flat) + 1, cells.shape[1], dtype=np.int32))
+                values = pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat)))
+                rows = [pa.array([path] * n), pa.array([self.var] * n), pa.array(np.arange(start, start + n)), pa.array([shape[1:]] * n, pa.list_(pa.int32())), values]
+                yield pa.RecordBatch.from_arrays(rows, names=["path", "var", "idx", "shape", "value"])
 
 
 class CdfDataSource(DataSource):
