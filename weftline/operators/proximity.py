@@ -172,7 +172,7 @@ def near_pairs(points: DataFrame, km: float, key: str = "point_id", lat: str = "
     part = lambda v: F.greatest(F.lit(0), F.least(F.lit(3), F.floor(v))).cast("int")
     high, across = (F.col("lat") + 90.0 - F.col("slab") * slabs.height) / slabs.degrees, F.when(slabs.reach(F.col("slab")) >= 360.0, 0.0).otherwise((F.col("x") - F.col("cell") * 4 * width) / width)
     own = part(high) * 4 + part(across)
-    counts = rows.where(F.col("kind") == _HOME).groupBy("base", own.alias("part")).agg(F.count("*").alias("n"))
+    counts = p.select("lat", "slab", "cell", F.col("lon").alias("x")).groupBy((F.col("slab") * _CELLS + F.col("cell")).alias("base"), own.alias("part")).agg(F.count("*").alias("n"))
     # at most one cell in ``block`` points is split: few, as a rule, but as their number grows with the points it is checked
     hot = counts.groupBy("base").agg(F.sum("n").alias("all"), F.collect_list(F.struct("part", "n")).alias("parts")).where(F.col("all") > block)
     hot = hot.select("base", F.map_from_entries(F.transform("parts", lambda x: F.struct(x["part"], F.ceil(x["n"] / block).cast("int")))).alias("deals"))
