@@ -154,3 +154,23 @@ def test_time_grows_with_the_text(pattern):
 def test_dictionary_of_a_file(tmp_path):
     (tmp_path / "words.txt").write_text("กริด\n\n แฟ้ม\t7\n", encoding="utf-8")
     assert dictionary.from_file(f"{tmp_path}/words.txt") == {"กริด", "แฟ้ม"}
+
+
+@pytest.mark.parametrize("fault", ["missing", "another form", "no words"])
+def test_unreadable_dictionary_is_no_result(spark, monkeypatch, fault):
+    text = "นักกีฬาชนะ การแข่งขันครั้งนี้"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    if fault == "missing":
+        monkeypatch.setattr(dictionary, "_RESOURCE", "/modules/jdk.localedata/none")
+    elif fault == "another form":
+        monkeypatch.setattr(dictionary, "_RESOURCE", "/modules/java.base/java/lang/Object.class")
+    else:
+        monkeypatch.setattr(dictionary, "_words", lambda data: [])
+    dictionary._runtime.cache_clear()
+    try:
+        with pytest.raises(RuntimeError, match="Thai dictionary"):
+            sentences.sentence_units(df)
+        assert sentences.sentence_units(df, words=["นักกีฬา", "ชนะ", "การแข่งขัน", "ครั้ง", "นี้"]).count() == 1
+        assert sentences.sentence_units(df, words=[]).count() == 2
+    finally:
+        dictionary._runtime.cache_clear()

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 #: The Java runtime's own Thai dictionary, which its break iterators use.
 _RESOURCE = "/modules/jdk.localedata/sun/text/resources/ext/thai_dict"
 _THAI = range(0x0E01, 0x0E50)
+_MISSING = "no Thai dictionary can be read from the Java runtime (module jdk.localedata); pass words, or an empty list to do without"
 
 
 def from_file(path: str) -> frozenset[str]:
@@ -24,13 +25,16 @@ def _runtime(spark: SparkSession) -> frozenset[str]:
     try:
         file = jvm.java.nio.file.Paths.get(jvm.java.net.URI.create(f"jrt:{_RESOURCE.removeprefix('/modules')}"))
         data = bytes(jvm.java.nio.file.Files.readAllBytes(file))
-    except Exception:  # a runtime without the module
-        return frozenset()
-    return frozenset(_words(data))
+        words = frozenset(_words(data))
+    except Exception as e:  # a runtime without the module, or with another form of it
+        raise RuntimeError(_MISSING) from e
+    if not words:
+        raise RuntimeError(_MISSING)
+    return words
 
 
 def thai(spark: SparkSession) -> frozenset[str]:
-    """Thai words of the driver's Java runtime; none where it has no such dictionary."""
+    """Thai words of the driver's Java runtime; raises where it has no such dictionary or one that can't be read."""
     return _runtime(spark)
 
 

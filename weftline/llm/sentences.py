@@ -29,7 +29,8 @@ def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text"
     Every non-blank character of a text is in exactly one unit. Documents with a null key, or a null or blank text, have none;
     repeated documents repeat their units. Needs no shuffle: documents stay in their partitions, whole, whatever their length; rows
     go out in blocks, so that a long text takes no more memory than its own size. ``words``: the dictionary of scripts without spaces
-    (default: the Thai one of the Java runtime), broadcast once; its size doesn't grow with the documents.
+    (default: the Thai one of the Java runtime), broadcast once; its size doesn't grow with the documents. Where the default can't be
+    read this raises, as Thai would be cut otherwise without a sign of it; an empty ``words`` does without a dictionary.
     """
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(sorted(dictionary.thai(spark) if words is None else words))
